@@ -87,7 +87,7 @@ def _crc_sql(text: str) -> str:
         table.append(c)
     listed = "[" + ",".join(map(str, table)) + "]::BIGINT[]"
     step = f"xor(acc >> 8, ({listed})[(xor(acc, x) & 255) + 1])"
-    return f"xor(list_reduce(list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT), lambda acc, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+    return f"xor(list_reduce(list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex, 2 * i + 1, 2))::BIGINT), lambda acc, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
 
 
 SQL_OP6 = r"""
@@ -116,7 +116,7 @@ FROM b
 
 def oracle_sql() -> dict[str, str]:
     op4 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, (((coalesce(doc_id, -1)::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT))::UHUGEINT AS key FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS hex, (((coalesce(doc_id, -1)::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT))::UHUGEINT AS key FROM documents),
 s AS (SELECT doc_id, strlen(t)::BIGINT + 16 AS size, {_crc_sql("t")} AS text_crc32, {_jump_sql(40)} AS shard, {_jump_sql(41)} AS grown_shard FROM d)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM s
 """
