@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, pick, saved, ship
+from .common import saved, ship, take
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, v``: rows with an id and a vector without null or non-finite components that is not zero."""
-    d = vectors.select(*[c.alias(n) for c, n in zip(pick(vectors, id_col, vector_col), ("vec_id", "v"))])
+    d = take(vectors, id_col, vector_col, into=("vec_id", "v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return d.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0))
 

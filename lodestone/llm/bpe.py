@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_text, pick, texts_of
+from .common import over_text, take, texts_of
 from .merges import MergeTable
 
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -135,7 +135,7 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids array<long>`` of each whole text (null: no ids). One narrow pass, no shuffle."""
     path = path or tokenizer_path("byte_bpe_50k.json")
-    d = docs.select(*pick(docs, id_col, text_col))
+    d = take(docs, id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> dict:
         return {id_col: batch.column(0), "ids": [memoryview(x).cast("I").tolist() for x in codec(path).encode(texts_of(batch, text_col))]}
@@ -148,7 +148,7 @@ def decode(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids
     import numpy as np
 
     path = path or tokenizer_path("byte_bpe_50k.json")
-    d = rows.select(*pick(rows, id_col), F.to_json(F.coalesce(pick(rows, ids_col)[0], F.array().cast("array<bigint>"))).alias("ids"))
+    d = take(rows, id_col, ids_col).select(id_col, F.to_json(F.coalesce(ids_col, F.array().cast("array<bigint>"))).alias("ids"))
 
     def run(batch: pa.RecordBatch) -> dict:
         import json
@@ -165,7 +165,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     columns, whatever their names, are not read. ``<|endoftext|>`` in a text is that token, as in the library.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
-    d = docs.select(*pick(docs, id_col, text_col))
+    d = take(docs, id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> dict:
         c = codec(path)

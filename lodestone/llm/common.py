@@ -54,16 +54,22 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def pick(df: DataFrame, *names: str) -> list[Column]:
-    """Columns by exact name first, so that extra columns that differ only in case do not clash."""
-    out = []
-    for n in names:
-        exact = [i for i, c in enumerate(df.columns) if c == n]
-        at = exact[:1] or [i for i, c in enumerate(df.columns) if c.lower() == n.lower()][:1]
-        if not at:
-            raise ValueError(f"column {n} is missing; there are {df.columns}")
-        out.append(df[at[0]].alias(n))
-    return out
+def column_at(df: DataFrame, name: str) -> int:
+    """Place of a column by exact name first, so that extra columns that differ only in case do not clash."""
+    same = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not same:
+        raise ValueError(f"column {name} is missing; there are {df.columns}")
+    return same[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns _0, _1, ... in place of names that may clash."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def take(df: DataFrame, *names: str, into: tuple[str, ...] | None = None) -> DataFrame:
+    """The named columns alone, under the names ``into`` if given."""
+    return numbered(df).select(*[F.col(f"_{column_at(df, n)}").alias(m) for n, m in zip(names, into or names)])
 
 
 def small_batches(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

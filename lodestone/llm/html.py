@@ -15,7 +15,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import over_text, pick, texts_of
+from .common import over_text, take, texts_of
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen command".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -216,7 +216,7 @@ def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Null and empty html give an empty text; repeated rows give repeated results; an empty table gives no rows; null
     ids and urls stay; other columns are not read. No shuffle.
     """
-    d = pages.select(*pick(pages, "page_id", "url", html_col))
+    d = take(pages, "page_id", "url", html_col)
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = [extract(t) for t in texts_of(batch, html_col)]

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import codec, tokenizer_path
-from .common import pick, ship, small_batches, texts_of
+from .common import ship, small_batches, take, texts_of
 
 END_ID = 2
 
@@ -85,7 +85,7 @@ def pack(docs: DataFrame, window: int = 4096, path: str | None = None, id_col: s
     its high half. Sequences are meant to be padded to ``window``.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
-    d = docs.select(*pick(docs, id_col, text_col))
+    d = take(docs, id_col, text_col)
     ship(docs.sparkSession)
     kind = d.schema[0].dataType
     schema = f"{id_col} {kind.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<bigint>" * with_ids

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_text, pick, ship, texts_of
+from .common import column_at, numbered, over_text, ship, take, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -223,7 +223,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Null and empty texts have no spans (``base_sha256`` is that of nothing); repeated rows give repeated results; an
     empty table gives no rows; other columns are not read. Places are code points, ends exclusive. No shuffle.
     """
-    d = docs.select(*pick(docs, id_col, text_col))
+    d = take(docs, id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> dict:
         found = [find(t) for t in texts_of(batch, text_col)]
@@ -242,4 +242,5 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else redact(t))
 
-    return docs.select(*[clean(docs[i]).alias(c) if c == text_col else docs[i] for i, c in enumerate(docs.columns)])
+    at = f"_{column_at(docs, text_col)}"
+    return numbered(docs).withColumn(at, clean(at)).toDF(*docs.columns)

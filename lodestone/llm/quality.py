@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, over_text, pick, ship, texts_of
+from .common import ASCII_SPACE, column_at, numbered, over_text, ship, take, texts_of
 
 SYMBOLS = "#*$%&|<>"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -130,7 +130,7 @@ def order_rules(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[int]:
 
 def sample_texts(docs: DataFrame, sample: int = 256, text_col: str = "text") -> list[str]:
     """The bounded sample on which costs are measured; it only decides the order of the rules."""
-    return [r[0] or "" for r in docs.select(*pick(docs, text_col)).limit(sample).collect()]
+    return [r[0] or "" for r in take(docs, text_col).limit(sample).collect()]
 
 
 def verdict(f: Features, order: list[int], rules: tuple[Rule, ...] = RULES) -> str | None:
@@ -145,7 +145,7 @@ def assess(docs: DataFrame, order: list[int] | None = None, id_col: str = "doc_i
     gives no rows; other columns are not read. No shuffle.
     """
     order = order_rules(sample_texts(docs, sample, text_col)) if order is None else order
-    d = docs.select(*pick(docs, id_col, text_col))
+    d = take(docs, id_col, text_col)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -172,5 +172,5 @@ def keep_good(docs: DataFrame, order: list[int] | None = None, text_col: str = "
     def good(texts: pd.Series) -> pd.Series:
         return pd.Series([verdict(Features(t or ""), order) is None for t in texts])
 
-    return docs.where(good(pick(docs, text_col)[0]))
+    return numbered(docs).where(good(F.col(f"_{column_at(docs, text_col)}"))).toDF(*docs.columns)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick, saved, unsigned_crc32
+from .common import saved, take, unsigned_crc32
 
 MULTIPLIER = 2862933555777941757
 MASK = 0xFFFF
@@ -60,8 +60,8 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     """
     if shards < 1:
         raise ValueError("there must be a shard")
-    key, text = pick(docs, id_col, text_col)
-    d = docs.select(key, F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("b"), unsigned_crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
+    text = F.col("_text")
+    d = take(docs, id_col, text_col, into=(id_col, "_text")).select(id_col, F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("b"), unsigned_crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
     rows = d.select(id_col, (F.col("b") + 16).alias("size"), "text_crc32", jump_hash(k, shards).cast("int").alias("shard"), jump_hash(k, shards + 1).cast("int").alias("grown_shard"), "_row")
     ordered = rows.orderBy("shard", id_col, "text_crc32", "size", "_row").drop("_row").withColumn("at", F.monotonically_increasing_id())

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, over_text, pick, saved, texts_of
+from .common import column_at, dropped, numbered, over_text, saved, take, texts_of
 
 RADIUS = 3
 SEED = 42
@@ -52,7 +52,7 @@ def fingerprint(text: str) -> bytes:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint`` (16 hexadecimal digits) and ``fp`` (the same bits as a long) of each whole text."""
-    d = docs.select(*pick(docs, id_col, text_col))
+    d = take(docs, id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> dict:
         got = [fingerprint(t) for t in texts_of(batch, text_col)]
@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of ``docs``, with all its columns, for each component: one with the component's smallest id."""
-    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    names = near_duplicates(numbered.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("key"), F.col(text_col).alias("text")), "key", "text", radius)
+    rows = saved(numbered(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    id, text = (F.col(f"_{column_at(docs, c)}") for c in (id_col, text_col))
+    names = near_duplicates(rows.select(F.struct(id.isNull().alias("n"), id.alias("id"), F.col("_row").alias("row")).alias("key"), text.alias("text")), "key", "text", radius)
     kept = names.where("key = component_id").select(F.col("key.row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").drop("_row").toDF(*docs.columns)

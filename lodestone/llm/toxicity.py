@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_text, pick, texts_of
+from .common import over_text, take, texts_of
 
 BITS = 20
 ORDERS = (4, 5, 6)
@@ -118,11 +118,11 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, **options: float) -> Model:
     """Fit on at most ``per_class`` labelled documents of each label outside the held-out third."""
-    good = labels.select(*pick(labels, "doc_id", label)).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
+    good = take(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
     one = good.groupBy("doc_id").agg(F.max(label).alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = one.where("label = 1").orderBy(*order).limit(per_class).union(one.where("label = 0").orderBy(*order).limit(per_class))
-    d = docs.select(*pick(docs, "doc_id", "text"))
+    d = take(docs, "doc_id", "text")
     rows = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()  # 2 * per_class ids are broadcast
     rows = {r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))}.values()
     return fit_texts([r.text or "" for r in rows], np.array([r.label for r in rows]), **options)
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, carry: tuple[st
     Null and empty texts are scored as empty; repeated rows alike; other columns are not read. No shuffle.
     """
     names = list(dict.fromkeys([*carry, text_col]))
-    d = docs.select(*pick(docs, *names))
+    d = take(docs, *names)
     schema = ", ".join(f"`{n}` {d.schema[n].dataType.simpleString()}" for n in carry) + ", score double, predicted int"
 
     def run(batch: pa.RecordBatch) -> dict:
