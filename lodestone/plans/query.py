@@ -97,7 +97,7 @@ class Context:
             part = ""
             if name.startswith("doc["):
                 name, _, part = name[5:].partition(name[4] + "]")
-            elif name.rpartition(".")[2] in ("value", "length", "empty"):
+            elif "." in name and name.rpartition(".")[2] in ("value", "length", "empty"):
                 name, _, part = name.rpartition(".")
             part = part.lstrip(".")
             if name.startswith("_PARENT.") and self.parent:
@@ -455,7 +455,11 @@ def phrase(x: Context, name: str, terms: list[str], slop: int = 0) -> Compiled:
         for t in terms[1:]:  # cheap tests first
             match = match & F.array_contains(toks, t)
         return Compiled(sure(match & (tf > 0)), x.term_score(name, idf, tf))
-    places = [F.transform(positions(toks, lambda t, w=w: t == w), lambda i, k=k: i - k) for k, w in enumerate(terms)]
+
+    def places_of(word: str, k: int) -> Column:
+        return F.transform(positions(toks, lambda t: t == word), lambda i: i - k)
+
+    places = [places_of(w, k) for k, w in enumerate(terms)]
 
     def fits(m: Column) -> Column:
         ok = F.lit(True)
@@ -1070,13 +1074,14 @@ class SpanNear(Span):
             return free & (F.greatest(p["e"], q["e"]) - F.least(p["s"], q["s"]) - p["n"] - q["n"] <= self.slop)
 
         def apart_later(p: Column, q: Column) -> Column:  # places between may yet be filled by later clauses
-            return (q["s"] >= p["e"]) & (q["e"] - p["s"] - p["n"] - q["n"] <= self.slop) if self.in_order else (q["e"] - q["s"]) > 0
+            return (q["s"] >= p["e"]) | (q["e"] <= p["s"])
+
+        def paired(found: Column, other: Column, test: Callable[[Column, Column], Column]) -> Column:
+            return F.array_distinct(F.flatten(F.transform(found, lambda p: F.transform(F.filter(other, lambda q: test(p, q)), lambda q: joined(p, q)))))
 
         found = wide(self.clauses[0].spans(x))
         for k, c in enumerate(self.clauses[1:], 2):
-            other = wide(c.spans(x))
-            test = apart if k == len(self.clauses) or self.in_order else apart_later
-            found = F.array_distinct(F.flatten(F.transform(found, lambda p, o=other, t=test: F.transform(F.filter(o, lambda q: t(p, q)), lambda q: joined(p, q)))))
+            found = paired(found, wide(c.spans(x)), apart if k == len(self.clauses) or self.in_order else apart_later)
         return F.transform(found, lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e")))
 
 
