@@ -21,10 +21,10 @@ def metres(distance: str | float) -> float:
 
 
 def haversine(lat: Column, lon: Column, lat2: float, lon2: float) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; null where the place is."""
     a1, b1, a2, b2 = F.radians(lat), F.radians(lon), F.radians(F.lit(float(lat2))), F.radians(F.lit(float(lon2)))
     h = F.pow(F.sin((a2 - a1) / 2), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin((b2 - b1) / 2), 2)
-    return F.lit(2 * EARTH) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.when(h.isNotNull(), F.lit(2 * EARTH) * F.asin(F.sqrt(F.least(h, F.lit(1.0)))))  # least() passes over nulls
 
 
 def in_box(lat: Column, lon: Column, top: float, left: float, bottom: float, right: float) -> Column:

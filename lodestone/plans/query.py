@@ -738,12 +738,13 @@ class Decay:
             raise ValueError("decay needs one point")
         p = x.column(self.field_name)
         s = geo.metres(self.scale)
-        far = F.greatest(F.lit(0.0), geo.haversine(p["lat"], p["lon"], *self.origin) - geo.metres(self.offset))
+        away = geo.haversine(p["lat"], p["lon"], *self.origin) - geo.metres(self.offset)
+        far = F.when(away > 0, away).when(away.isNotNull(), 0.0)
         if self.kind == "exp":
             v = F.exp(math.log(self.decay) / s * far)
         elif self.kind == "linear":
             s = s / (1 - self.decay)
-            v = F.greatest(F.lit(0.0), (s - far) / s)
+            v = F.when(far < s, (s - far) / s).otherwise(0.0)
         elif self.kind == "gauss":
             v = F.exp(-far * far / (2 * (-(s * s) / (2 * math.log(self.decay)))))
         else:

@@ -98,10 +98,12 @@ class Catalog:
     def clean(self, name: str) -> list[int]:
         """Delete versions that are neither current nor pinned."""
         meta = self._meta(name)
-        gone = [v for v in range(1, meta["version"]) if v not in meta["snapshots"]]
-        for v in gone:
+        gone = []
+        for v in range(1, meta["version"]):
             fs, p = self._fs(f"{self.root}/{name}/v={v}")
-            fs.delete(p, True)
+            if v not in meta["snapshots"] and fs.exists(p):
+                fs.delete(p, True)
+                gone.append(v)
         return gone
 
     def delete_index(self, name: str) -> None:
