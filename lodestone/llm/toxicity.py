@@ -8,6 +8,7 @@ is what counts, so a long text does not dilute what it holds. The model is a few
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +52,18 @@ def rows_of(starts: np.ndarray, grams: list[np.ndarray], known: np.ndarray | Non
     return both >> 32, both & 0xFFFFFFFF
 
 
+def parts_of(texts: list[str], chars: int = 250_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about so many characters."""
+    start, total = 0, 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > chars:
+            yield start, i
+            start, total = i, 0
+        total += len(t) + 1
+    if start < len(texts):
+        yield start, len(texts)
+
+
 @dataclass(frozen=True)
 class Model:
     """Hashes of the features kept, weight times ratio of each, and the intercept."""
@@ -75,19 +88,21 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_texts(texts: list[str], labels: np.ndarray, features: int = 4000, alpha: float = 1.0, l2: float = 1e-3, steps: int = 400) -> Model:
+def fit_texts(texts: list[str], labels: np.ndarray, features: int = 3000, alpha: float = 1.0, l2: float = 1e-3, steps: int = 250) -> Model:
     """Fit on texts in memory. With one label only, every text gets that label's share as its score."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
-    parts = [rows_of(*hashed(texts[k : k + 200])) for k in range(0, len(texts), 200)]
-    doc = np.concatenate([d + 200 * i for i, (d, _) in enumerate(parts)])
-    gram = np.concatenate([g for _, g in parts])
+    # two passes in small parts: the first counts documents for each n-gram, the second keeps the chosen ones only
     size, n1 = 1 << BITS, y.sum()
     n0 = len(y) - n1
-    df1 = np.bincount(gram, y[doc], minlength=size)
-    df0 = np.bincount(gram, minlength=size) - df1
+    df1, df0 = np.zeros(size), np.zeros(size)
+    for a, b in parts_of(texts):
+        doc, gram = rows_of(*hashed(texts[a:b]))
+        toxic = y[a + doc] == 1
+        df1 += np.bincount(gram[toxic], minlength=size)
+        df0 += np.bincount(gram[~toxic], minlength=size)
     a, b, c, d = df1, df0, n1 - df1, n0 - df0
     chi = np.where(df1 + df0 >= 3, (a * d - b * c) ** 2 / np.maximum(1, (a + b) * (c + d)), 0)
     keep = np.sort(np.argsort(-chi, kind="stable")[:features])
@@ -95,8 +110,9 @@ def fit_texts(texts: list[str], labels: np.ndarray, features: int = 4000, alpha:
     ratio = np.log((df1[keep] + alpha) / (n1 + 2 * alpha)) - np.log((df0[keep] + alpha) / (n0 + 2 * alpha))
     known = np.full(size, -1, np.int64)
     known[keep] = np.arange(len(keep))
-    on = known[gram] >= 0
-    doc, feature = doc[on], known[gram[on]]
+    found = [(a, *rows_of(*hashed(texts[a:b]), known)) for a, b in parts_of(texts)]
+    doc = np.concatenate([a + d for a, d, _ in found])
+    feature = np.concatenate([f for _, _, f in found])
     x = ratio[feature]
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     w, bias = np.full(len(keep), 0.01), 0.0
