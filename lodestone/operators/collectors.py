@@ -113,10 +113,19 @@ def terms(df: DataFrame, x: Context, c: Terms, within: tuple[str, ...] = ()) ->
     rows = bucketed(df, x, c)
     agg = rows.groupBy(*within, "key").agg(F.count("*").alias("count"), *[m.column(x).alias(n) for n, m in metrics.items()])
     by = F.col("count" if c.order_by == "_count" else c.order_by)
-    all_of = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    ranked = agg.withColumn("total_buckets", F.count("*").over(all_of)).withColumn("rank", F.row_number().over(all_of.orderBy(by.asc() if c.ascending else by.desc(), "key")))
-    top = ranked.withColumn("total_other_counts", F.sum(F.when(F.col("rank") > c.size, F.col("count")).otherwise(0)).over(all_of))
-    return top.where(F.col("rank") <= c.size)
+    order = (by.asc() if c.ascending else by.desc(), F.col("key"))
+    if not within:
+        # a bounded top-k over the buckets, however many there are; the totals are scalar subqueries
+        top = agg.orderBy(*order).limit(c.size)
+        few = Window.partitionBy(F.lit(0))
+        top = top.withColumn("rank", F.row_number().over(few.orderBy(*order))).withColumn("_shown", F.sum("count").over(few))
+        buckets, counted = agg.agg(F.count("*")).scalar(), agg.agg(F.sum("count")).scalar()
+        return top.withColumn("total_buckets", buckets).withColumn("total_other_counts", counted - F.col("_shown")).drop("_shown")
+    # ``rank <= size`` lets each task keep its best rows before the shuffle
+    best = agg.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("rank") <= c.size)
+    totals = agg.groupBy(*within).agg(F.count("*").alias("total_buckets"), F.sum("count").alias("_all"))
+    shown = Window.partitionBy(*within)
+    return best.withColumn("_shown", F.sum("count").over(shown)).join(totals, list(within)).withColumn("total_other_counts", F.col("_all") - F.col("_shown")).drop("_all", "_shown")
 
 
 def nested_terms(df: DataFrame, x: Context, outer: Terms, inner: Terms) -> DataFrame:
@@ -133,6 +142,8 @@ def top_hits(df: DataFrame, x: Context, c: TopHits, by: tuple[str, ...] = ()) ->
     rows = df.withColumns({n: sort_value(x, s, F.col("_score")) for n, s in zip(names, c.sort)}) if c.sort else df
     ranks = order(x, c.sort, names) if c.sort else [F.col("_score").desc()]
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if not by:
+        rows = rows.orderBy(*ranks, F.col(x.index.id)).limit(c.top_hits)
     rank = F.row_number().over(w.orderBy(*ranks, F.col(x.index.id)))
     score = F.lit(float("nan")) if c.sort else F.col("_score")
     picked = rows.withColumn("hit", rank).where((F.col("hit") > c.start) & (F.col("hit") <= c.top_hits))

@@ -43,14 +43,13 @@ def values(df: DataFrame, x: Context, f: Facet) -> DataFrame:
     rows = bucketed(df, x, Terms(f.name, script=f.script), "label")
     counts = rows.groupBy("label").agg(F.count("*").alias("count"))
     if f.script is not None:
-        total = df.agg(F.count("*").alias("value"))
+        total = df.agg(F.count("*"))
     else:
         c = x.column(f.name)
         some = F.size(c) > 0 if x.index.field(f.name).multi else c.isNotNull()
-        total = df.agg(F.count_if(some).alias("value"))
-    total = total.crossJoin(counts.agg(F.count("*").alias("child_count")))  # one row and one row
+        total = df.agg(F.count_if(some))
     shown = counts.where(F.col("label").isin(*f.labels)) if f.labels else counts.orderBy(F.desc("count"), "label").limit(f.top_n)
-    return shown.crossJoin(F.broadcast(total))
+    return shown.select("label", "count", total.scalar().alias("value"), counts.agg(F.count("*")).scalar().alias("child_count"))
 
 
 def hierarchy(df: DataFrame, x: Context, f: Facet) -> DataFrame:
