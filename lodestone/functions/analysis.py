@@ -213,8 +213,12 @@ def synonyms(rules: str, ignore_case: bool = True, expand: bool = True, separato
         for m in members:
             key = m.lower() if ignore_case else m
             table[key] = list(dict.fromkeys([*table.get(key, []), *([m, *members] if expand else members[:1])]))
-    known = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return lambda ts: F.flatten(F.transform(ts, lambda t: F.coalesce(F.try_element_at(known, F.lower(t) if ignore_case else t), F.array(t))))
+
+    def step(ts: Column) -> Column:
+        known = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+        return F.flatten(F.transform(ts, lambda t: F.coalesce(F.try_element_at(known, F.lower(t) if ignore_case else t), F.array(t))))
+
+    return step
 
 
 STANDARD = Analyzer(tokenizer=standard_tokens, filters=(lowercase,))
