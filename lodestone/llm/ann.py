@@ -50,7 +50,7 @@ class Codebooks:
         return sum(self.words[m][codes[:, m]] for m in range(len(self.words)))
 
 
-def fit(x: np.ndarray, books: int = 8, size: int = 256, rounds: int = 8, refits: int = 2, seed: int = 5) -> Codebooks:
+def fit(x: np.ndarray, books: int = 16, size: int = 256, rounds: int = 8, refits: int = 1, seed: int = 5) -> Codebooks:
     """Residual k-means codebooks, then joint least squares on the codes that beam search finds."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
@@ -69,12 +69,12 @@ def fit(x: np.ndarray, books: int = 8, size: int = 256, rounds: int = 8, refits:
     book = Codebooks(words)
     for _ in range(refits):
         codes = np.concatenate([book.encode(x[k : k + 1024]) for k in range(0, len(x), 1024)])
-        at = codes.astype(np.int64) + size * np.arange(books)
         gram, right = np.zeros((books * size, books * size), np.float32), np.zeros((books * size, dims), np.float32)
         for m in range(books):
-            np.add.at(right, at[:, m], x)
+            np.add.at(right, codes[:, m] + np.int64(size * m), x)
             for o in range(books):
-                gram += np.bincount(at[:, m] * books * size + at[:, o], minlength=(books * size) ** 2).reshape(gram.shape).astype(np.float32)
+                both = np.bincount(codes[:, m] * np.int64(size) + codes[:, o], minlength=size * size)
+                gram[size * m : size * (m + 1), size * o : size * (o + 1)] = both.reshape(size, size)
         gram[np.diag_indices(books * size)] += 0.1
         right += 0.1 * book.words.reshape(-1, dims)
         book = Codebooks(np.linalg.solve(gram, right).reshape(words.shape).astype(np.float32))
@@ -108,7 +108,7 @@ def index(rows: DataFrame, dims: int, book: Codebooks, beam: int = 4) -> DataFra
     return rows.where(F.size("v") == dims).mapInPandas(run, rows.schema.simpleString()[7:-1].replace(":", " ", 1).replace(",v:", ", v ") + ", codes binary, norm double")
 
 
-def search(table: DataFrame, query_ids: np.ndarray, queries: np.ndarray, book: Codebooks, k: int, keep: int = 64, block: int = 4096) -> DataFrame:
+def search(table: DataFrame, query_ids: np.ndarray, queries: np.ndarray, book: Codebooks, k: int, keep: int = 128, block: int = 4096) -> DataFrame:
     """``query_id, vec_id, score``: from each block of rows the ``k`` nearest by exact distance among its ``keep`` best by look-up."""
     ship(table.sparkSession)
     broadcast = table.sparkSession.sparkContext.broadcast((query_ids, queries))
@@ -149,7 +149,7 @@ def search(table: DataFrame, query_ids: np.ndarray, queries: np.ndarray, book: C
     return table.mapInPandas(run, f"query_id {id_type}, vec_id {id_type}, score double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", train: int = 16384, wave: int = 16384, beam: int = 4, keep: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", train: int = 16384, wave: int = 16384, beam: int = 4, keep: int = 128) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for each query, by Euclidean distance.
 
     Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part;
