@@ -22,7 +22,7 @@ BYTE_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^
 WORD_CHUNK = re.compile(rf"[^{SPACE}]+")
 WORD_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]")
 #: Chunks remembered by a worker; beyond it the memory starts anew. It bounds memory, not what is encoded.
-MEMORY = 500_000
+MEMORY = 300_000
 
 
 def tokenizer_path(name: str) -> str:

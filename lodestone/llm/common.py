@@ -72,7 +72,7 @@ def take(df: DataFrame, *names: str, into: tuple[str, ...] | None = None) -> Dat
     return numbered(df).select(*[F.col(f"_{column_at(df, n)}").alias(m) for n, m in zip(names, into or names)])
 
 
-def small_batches(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batch: pa.RecordBatch, text: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``max_bytes`` of text (always at least one row)."""
     if not batch.num_rows:
         return
@@ -89,7 +89,7 @@ def small_batches(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) ->
     yield batch.slice(start)
 
 
-def over_text(df: DataFrame, text: str, schema: str, fn: Callable[[pa.RecordBatch], dict[str, list]], max_bytes: int = 4 << 20) -> DataFrame:
+def over_text(df: DataFrame, text: str, schema: str, fn: Callable[[pa.RecordBatch], dict[str, list]], max_bytes: int = 2 << 20) -> DataFrame:
     """Map each small Arrow batch to a dictionary of columns. Only the columns in ``df`` reach Python."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -43,11 +43,11 @@ def rows_of(starts: np.ndarray, grams: list[np.ndarray], known: np.ndarray | Non
     """(text, feature) once for each feature that a text holds; ``known`` maps hashes to features, -1 none."""
     pairs = []
     for g in grams:
-        f = g.astype(np.int64) if known is None else known[g]
+        f = g if known is None else known[g]
         at = np.arange(len(f)) if known is None else np.flatnonzero(f >= 0)
         doc = np.searchsorted(starts, at, side="right") - 1
         ok = doc >= 0
-        pairs.append(doc[ok] << 32 | f[at[ok]])
+        pairs.append(doc[ok] << 32 | f[at[ok]].astype(np.int64))
     both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
     return both >> 32, both & 0xFFFFFFFF
 
@@ -79,7 +79,7 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.known = np.full(1 << BITS, -1, np.int64)
+        self.known = np.full(1 << BITS, -1, np.int32)
         self.known[model.hashes] = np.arange(len(model.hashes))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, carry: tuple[st
         s = _scorer(texts_of(batch, text_col))
         return {n: batch.column(batch.schema.get_field_index(n)) for n in carry} | {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= threshold).astype(np.int32))}
 
-    return over_text(d, text_col, schema, run, max_bytes=2 << 20)
+    return over_text(d, text_col, schema, run, max_bytes=1 << 19)
 
 
 _scorer: Scorer | None = None
