@@ -33,6 +33,19 @@ def sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def once(c: Column) -> Column:
+    """A column that the optimizer does not copy into what reads it: tokens are made once for a row, not once for each use.
+
+    The condition always holds; depending on the row's place, it keeps filters and projections from taking the expression over.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens_name(field_name: str) -> str:
     return "_tok_" + field_name.replace(".", "__")
 
@@ -68,9 +81,9 @@ class Context:
             return c if f.multi else F.array(c)
         raise ValueError(f"{name} has no terms")
 
-    def with_tokens(self, names: list[str] | None = None) -> DataFrame:
-        """The index with a column of tokens for each text field, analysed once in a projection of its own."""
-        df = self.index.df
+    def with_tokens(self, names: list[str] | None = None, where: Column | None = None) -> DataFrame:
+        """The index, less rows that fail ``where``, with a column of tokens for each text field."""
+        df = self.index.df if where is None else self.index.df.where(where)
         for n in self.index.text_fields if names is None else names:
             f = self.index.field(n)
             c = F.col(f.column or n)
@@ -78,7 +91,7 @@ class Context:
             if f.multi:  # the values' tokens with a gap of nulls between, so that phrases do not cross
                 gap = F.array_repeat(F.lit(None).cast("string"), f.analyzer.position_gap)
                 toks = F.aggregate(F.transform(c, f.analyzer.column), F.array().cast("array<string>"), lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.concat(a, gap, x)))
-            df = df.withColumn(tokens_name(n), F.coalesce(toks, F.array().cast("array<string>")))
+            df = df.withColumn(tokens_name(n), once(F.coalesce(toks, F.array().cast("array<string>"))))
         return df
 
     def script(self, source: object) -> Column:
@@ -117,13 +130,15 @@ class Context:
 
     # statistics
 
-    def prepared(self, query: Query) -> tuple[DataFrame, Compiled]:
-        """The index with tokens and joined columns, and the query compiled over it."""
+    def prepared(self, query: Query, whole: bool = False) -> tuple[DataFrame, Compiled]:
+        """The index with tokens and joined columns, and the query compiled over it. Rows that cannot match may be
+        gone already, unless the ``whole`` index is asked for."""
         query.compile(self)
         self._count()
         self.joins = []
         compiled = query.compile(self)
-        df = self.with_tokens(sorted(self.used(query)))
+        # what plain columns decide is filtered first, where the scan can use it
+        df = self.with_tokens(sorted(self.used(query)), query.plain(self) if self.root is None and not whole else None)
         for n, (other, left, right) in enumerate(self.joins):
             df = df.join(other.select(F.col(right).alias(f"_k{n}"), F.col("score").alias(f"_x{n}")), F.col(left) == F.col(f"_k{n}"), "left").drop(f"_k{n}")
         return df, compiled
@@ -232,6 +247,10 @@ class Query:
     def build(self, x: Context) -> Compiled:
         raise NotImplementedError
 
+    def plain(self, x: Context) -> Column | None:
+        """A condition on columns other than texts that every match meets; None where there is none to tell."""
+        return None
+
     def fields(self, x: Context) -> set[str]:
         """Fields that the tree reads."""
         out = set()
@@ -308,6 +327,14 @@ class Bool(Query):
     def build(self, x: Context) -> Compiled:
         return combine([q.compile(x) for q in self.must], [q.compile(x) for q in self.should], [q.compile(x).match for q in self.filter], [q.compile(x).match for q in self.must_not], self.minimum_should_match)
 
+    def plain(self, x: Context) -> Column | None:
+        out = None
+        for q in (*self.must, *self.filter):
+            p = q.plain(x)
+            if p is not None:
+                out = p if out is None else out & p
+        return out
+
 
 def typed(f: Field, value: object) -> Column:
     """A literal of the field's type from a value or from text."""
@@ -319,8 +346,13 @@ def typed(f: Field, value: object) -> Column:
     return F.lit(kinds.get(f.type, str)(value))
 
 
+def raw_value(c: Column, f: Field, test: Callable[[Column], Column]) -> Column:
+    """The test on a value, or on any of several; null where there is none, so that a filter by it can reach the scan."""
+    return F.exists(c, test) if f.multi else test(c)
+
+
 def any_value(c: Column, f: Field, test: Callable[[Column], Column]) -> Column:
-    return sure(F.exists(c, test) if f.multi else test(c))
+    return sure(raw_value(c, f, test))
 
 
 @dataclass(frozen=True)
@@ -330,6 +362,9 @@ class Term(Query):
     field_name: str
     value: object
 
+    def plain(self, x: Context) -> Column | None:
+        return None if x.index.field(self.field_name).type in ("text", "virtual", "runtime") else self.condition(x)
+
     def build(self, x: Context) -> Compiled:
         f = x.index.field(self.field_name)
         if f.type in ("text", "atom", "_id"):
@@ -341,8 +376,12 @@ class Term(Query):
             return x.term(self.field_name, str(self.value).lower())
         if f.type not in (*NUMERIC, "date_time"):
             raise ValueError(f"no term query on {f.type}")
+        return constant(self.condition(x))
+
+    def condition(self, x: Context) -> Column:
+        f = x.index.field(self.field_name)
         v = typed(f, self.value)
-        return constant(any_value(x.column(self.field_name), f, lambda c: c == v))
+        return raw_value(x.column(self.field_name), f, lambda c: c == v)
 
 
 @dataclass(frozen=True)
@@ -350,14 +389,21 @@ class TermInSet(Query):
     field_name: str
     values: tuple
 
+    def plain(self, x: Context) -> Column | None:
+        return None if x.index.field(self.field_name).type in ("text", "virtual", "runtime") else self.condition(x)
+
     def build(self, x: Context) -> Compiled:
         f = x.index.field(self.field_name)
         if f.type not in (*NUMERIC, "text", "atom", "_id", "date_time"):
             raise ValueError(f"no set query on {f.type}")
-        values = [typed(f, v) for v in self.values]
         if f.type == "text":
-            return constant(F.arrays_overlap(x.tokens(self.field_name), F.array(*values)))
-        return constant(any_value(x.column(self.field_name), f, lambda c: c.isin(*values)))
+            return constant(F.arrays_overlap(x.tokens(self.field_name), F.array(*[typed(f, v) for v in self.values])))
+        return constant(self.condition(x))
+
+    def condition(self, x: Context) -> Column:
+        f = x.index.field(self.field_name)
+        values = [typed(f, v) for v in self.values]
+        return raw_value(x.column(self.field_name), f, lambda c: c.isin(*values))
 
 
 @dataclass(frozen=True)
@@ -370,6 +416,9 @@ class Range(Query):
     lower_exclusive: bool = False
     upper_exclusive: bool = False
 
+    def plain(self, x: Context) -> Column | None:
+        return None if x.index.field(self.field_name).type in ("text", "virtual", "runtime") else self.condition(x)
+
     def build(self, x: Context) -> Compiled:
         f = x.index.field(self.field_name)
         if f.type not in (*NUMERIC, "date_time", "atom", "_id"):
@@ -377,6 +426,10 @@ class Range(Query):
         number = float if f.type in NUMERIC else str
         if self.lower is not None and self.upper is not None and number(self.lower) > number(self.upper):
             raise ValueError("the lower bound is above the upper one")
+        return constant(self.condition(x))
+
+    def condition(self, x: Context) -> Column:
+        f = x.index.field(self.field_name)
 
         def inside(c: Column) -> Column:
             ok = c.isNotNull()
@@ -388,16 +441,22 @@ class Range(Query):
                 ok = ok & (c < high if self.upper_exclusive else c <= high)
             return ok
 
-        return constant(any_value(x.column(self.field_name), f, inside))
+        return raw_value(x.column(self.field_name), f, inside)
 
 
 @dataclass(frozen=True)
 class Exists(Query):
     field_name: str
 
+    def plain(self, x: Context) -> Column | None:
+        return None if x.index.field(self.field_name).type in ("text", "virtual", "runtime") else self.condition(x)
+
     def build(self, x: Context) -> Compiled:
+        return constant(self.condition(x))
+
+    def condition(self, x: Context) -> Column:
         f, c = x.index.field(self.field_name), x.column(self.field_name)
-        return constant(c.isNotNull() & (F.size(c) > 0) if f.multi else c.isNotNull())
+        return c.isNotNull() & (F.size(c) > 0) if f.multi else c.isNotNull()
 
 
 REWRITES = ("constant_score", "constant_score_boolean", "scoring_boolean", "top_terms_blended_freqs", "top_terms_boost", "top_terms")
@@ -448,9 +507,14 @@ def phrase(x: Context, name: str, terms: list[str], slop: int = 0) -> Compiled:
     toks, n = x.tokens(name), len(terms)
     idf = sum(x.idf(name, t) for t in terms)
     if slop == 0:
-        wanted = F.array(*map(F.lit, terms))
-        starts = F.filter(positions(toks, lambda t: t == terms[0]), lambda i: F.slice(toks, i + 1, n) == wanted)
-        tf = F.size(starts)
+
+        def here(t: Column, i: Column) -> Column:
+            ok = t == terms[0]
+            for k, w in enumerate(terms[1:], 1):
+                ok = ok & (F.get(toks, i + k) == w)
+            return ok
+
+        tf = F.size(F.filter(toks, here))
         match = F.array_contains(toks, terms[0])
         for t in terms[1:]:  # cheap tests first
             match = match & F.array_contains(toks, t)
@@ -461,14 +525,11 @@ def phrase(x: Context, name: str, terms: list[str], slop: int = 0) -> Compiled:
 
     places = [places_of(w, k) for k, w in enumerate(terms)]
 
-    def fits(m: Column) -> Column:
-        ok = F.lit(True)
-        for p in places:
-            ok = ok & F.exists(p, lambda a: (a >= m) & (a <= m + slop))
-        return ok
-
-    starts = F.filter(F.array_distinct(F.flatten(F.array(*places))), fits)
-    return Compiled(sure(F.size(starts) > 0), x.term_score(name, idf, F.size(starts)))
+    n = let(F.array(*places), lambda all_of: F.size(F.filter(F.array_distinct(F.flatten(all_of)), lambda m: F.forall(all_of, lambda p: F.exists(p, lambda a: (a >= m) & (a <= m + slop))))))
+    match = F.array_contains(toks, terms[0])
+    for t in terms[1:]:
+        match = match & F.array_contains(toks, t)
+    return Compiled(sure(match & (n > 0)), x.term_score(name, idf, n))
 
 
 @dataclass(frozen=True)
@@ -973,14 +1034,20 @@ class Span(Query):
     def build(self, x: Context) -> Compiled:
         if x.index.field(self.field_name).type != "text":
             raise ValueError("spans need a text field")
-        n = F.size(self.spans(x))
-        return Compiled(sure(n > 0), F.lit(1.0))
+        return Compiled(sure(self.possible(x) & (F.size(self.spans(x)) > 0)), F.lit(1.0))
+
+    def possible(self, x: Context) -> Column:
+        """A cheap test that every match passes."""
+        return F.lit(True)
 
 
 @dataclass(frozen=True)
 class SpanTerm(Span):
     value: str
 
+    def possible(self, x: Context) -> Column:
+        return F.array_contains(x.tokens(self.field_name), self.value)
+
     def test(self, x: Context) -> Callable[[Column], Column]:
         return lambda t: t == self.value
 
@@ -1062,6 +1129,12 @@ class SpanNear(Span):
     slop: int = 0
     in_order: bool = True
 
+    def possible(self, x: Context) -> Column:
+        out = F.lit(True)
+        for c in self.clauses:
+            out = out & c.possible(x)
+        return out
+
     def spans(self, x: Context) -> Column:
         def wide(c: Column) -> Column:
             return F.transform(c, lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"), (s["e"] - s["s"]).alias("n")))
@@ -1078,7 +1151,7 @@ class SpanNear(Span):
             return (q["s"] >= p["e"]) | (q["e"] <= p["s"])
 
         def paired(found: Column, other: Column, test: Callable[[Column, Column], Column]) -> Column:
-            return F.array_distinct(F.flatten(F.transform(found, lambda p: F.transform(F.filter(other, lambda q: test(p, q)), lambda q: joined(p, q)))))
+            return let(other, lambda o: F.array_distinct(F.flatten(F.transform(found, lambda p: F.transform(F.filter(o, lambda q: test(p, q)), lambda q: joined(p, q))))))
 
         found = wide(self.clauses[0].spans(x))
         for k, c in enumerate(self.clauses[1:], 2):

@@ -42,7 +42,7 @@ def delete_by_query(index: Index, queries: list[Query]) -> DataFrame:
     compiled = []
     df = None
     for q in queries:
-        df, c = x.prepared(q)
+        df, c = x.prepared(q, whole=True)
         compiled.append(c.match)
     df = x.with_tokens() if len(queries) > 1 else df
     gone = reduce(lambda a, b: a | b, map(sure, compiled))
