@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, html, lm, packing, pii, quality, shard, simhash, toxicity
+from .common import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,8 @@ def _jump_sql(shards: int) -> str:
     return f"(SELECT CASE WHEN s.j < {shards} THEN s.j ELSE s.b END FROM (SELECT {steps} AS s))::INT"
 
 
-def _crc_sql(text: str) -> str:
+def _crc_sql(hexadecimal: str) -> str:
+    """CRC-32 of the bytes that a hexadecimal text stands for."""
     table = []
     for i in range(256):
         c = i
@@ -87,7 +90,7 @@ def _crc_sql(text: str) -> str:
         table.append(c)
     listed = "[" + ",".join(map(str, table)) + "]::BIGINT[]"
     step = f"xor(acc >> 8, ({listed})[(xor(acc, x) & 255) + 1])"
-    return f"xor(list_reduce(list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex, 2 * i + 1, 2))::BIGINT), lambda acc, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+    return f"xor(list_reduce(list_transform(regexp_extract_all({hexadecimal}, '..'), lambda b: ('0x' || b)::BIGINT), lambda acc, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
 
 
 SQL_OP6 = r"""
@@ -117,7 +120,7 @@ FROM b
 def oracle_sql() -> dict[str, str]:
     op4 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS hex, (((coalesce(doc_id, -1)::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT))::UHUGEINT AS key FROM documents),
-s AS (SELECT doc_id, strlen(t)::BIGINT + 16 AS size, {_crc_sql("t")} AS text_crc32, {_jump_sql(40)} AS shard, {_jump_sql(41)} AS grown_shard FROM d)
+s AS (SELECT doc_id, strlen(t)::BIGINT + 16 AS size, {_crc_sql("hex")} AS text_crc32, {_jump_sql(40)} AS shard, {_jump_sql(41)} AS grown_shard FROM d)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM s
 """
     return {"op4_jump_hash": op4, "op6_rule_cascade": SQL_OP6}
