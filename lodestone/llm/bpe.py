@@ -22,7 +22,7 @@ BYTE_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^
 WORD_CHUNK = re.compile(rf"[^{SPACE}]+")
 WORD_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]")
 #: Chunks remembered by a worker; beyond it the memory starts anew. It bounds memory, not what is encoded.
-MEMORY = 300_000
+MEMORY = 500_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -140,7 +140,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batch: pa.RecordBatch) -> dict:
         return {id_col: batch.column(0), "ids": [memoryview(x).cast("I").tolist() for x in codec(path).encode(texts_of(batch, text_col))]}
 
-    return over_text(d, text_col, f"{id_col} {d.dtypes[0][1]}, ids array<bigint>", run)
+    return over_text(d, text_col, f"{id_col} {d.dtypes[0][1]}, ids array<bigint>", run, max_bytes=4 << 20)
 
 
 def decode(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -177,4 +177,4 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
             "decoded_sha256": [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids],
         }
 
-    return over_text(d, text_col, f"{id_col} {d.dtypes[0][1]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", run)
+    return over_text(d, text_col, f"{id_col} {d.dtypes[0][1]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", run, max_bytes=4 << 20)

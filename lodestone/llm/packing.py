@@ -108,7 +108,7 @@ def pack(docs: DataFrame, window: int = 4096, path: str | None = None, id_col: s
             return pa.RecordBatch.from_arrays(cols, names)
 
         for whole in batches:
-            for part in small_batches(whole, text_col):
+            for part in small_batches(whole, text_col, 4 << 20):
                 id_type = part.column(0).type
                 for key, ids in zip(part.column(0).to_pylist(), codec(path).encode(texts_of(part, text_col))):
                     ids += end
