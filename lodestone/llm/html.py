@@ -144,8 +144,10 @@ def main_node(root: Node) -> Node:
         c, t, lc, lt = x.chars, max(1, x.tags), x.link_chars, x.link_tags
         if c:
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            x.density = c / t * max(0.0, math.log(c / max(1, lc) * (t / max(1, lt)))) / max(1e-9, math.log(max(1.0 + 1e-9, base)) if base <= 1 else base)
-        x.total = x.density + 0.0 if not any(k.__class__ is Node and not k.cut for k in x.kids) else sum(k.density for k in x.kids if k.__class__ is Node and not k.cut)
+            # divided by the logarithm itself: it is 1 without links, where as a base it would be none
+            x.density = c / t * max(0.0, math.log(c / max(1, lc) * (t / max(1, lt)))) / base
+        below = [k.density for k in x.kids if k.__class__ is Node and not k.cut]
+        x.total = sum(below) if below else x.density
     inside = _nodes(body)
     densest = max(inside, key=lambda x: x.total)
     threshold, up = math.inf, densest
