@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.registry import lookup
+
 
 @dataclass(frozen=True)
 class Highlight:
@@ -22,6 +24,7 @@ class Highlight:
     fragments: int = 5
     boundary: str = "word"
     by_score: bool = True
+    plugin: str | None = None
 
 
 def pattern(terms: tuple[str, ...]) -> str:
@@ -73,4 +76,6 @@ def fragments(text: Column, h: Highlight) -> Column:
 
 
 def column(text: Column, h: Highlight) -> Column:
+    if h.plugin:
+        return lookup("highlighter", h.plugin)(text, h)
     return fragments(text, h) if h.fragments else F.array(whole(text, h))

@@ -95,9 +95,11 @@ class Context:
         return df
 
     def script(self, source: object) -> Column:
-        """A script as a Column: source text, or a callable of this context."""
+        """A script as a Column: source text, a callable of this context, or (language, source) of a registered language."""
         if callable(source):
             return source(self)
+        if isinstance(source, tuple):
+            return lookup("script", source[0])(source[1], self, self.params)
 
         def resolve(name: str) -> Column:
             if name == "_score":
@@ -144,7 +146,7 @@ class Context:
         return df, compiled
 
     def used(self, query: Query) -> set[str]:
-        return {n for n in query.fields(self) if self.index.field(n).type == "text" and "." not in n or n in self.index.fields and self.index.fields[n].type == "text"}
+        return {n for n in query.fields(self) if self.index.field(n).type == "text"}
 
     def _count(self) -> None:
         if self.stats is not None and not (self.wanted - set(self.stats["df"])) and not (self.lengths - set(self.stats["n"])):
@@ -989,9 +991,17 @@ class CrossIndex(Query):
         rows = df.where(c.match).select((F.explode(F.array_distinct(key)) if f.multi else key).alias("k"), c.score.alias("s"))
         if self.max_terms is not None and x.stats is None and df.where(c.match).limit(self.max_terms + 1).count() > self.max_terms:
             raise ValueError("more documents match than max_terms allows")
-        how = {"none": F.lit(0.0), "avg": F.avg("s"), "max": F.max("s"), "min": F.min("s"), "total": F.sum("s")}[self.score_mode]
-        n = len(x.joins)
-        x.joins.append((rows.where("k IS NOT NULL").groupBy("k").agg(how.alias("score")), x.index.field(self.field_name).column or self.field_name, "k"))
+        if self.score_mode not in ("none", "avg", "max", "min", "total"):
+            raise ValueError(f"unknown score mode: {self.score_mode}")
+        keys = rows.where("k IS NOT NULL").groupBy("k").agg(F.sum("s").alias("total"), F.count("s").alias("n"), F.max("s").alias("max"), F.min("s").alias("min"))
+        own, n = x.index.field(self.field_name), len(x.joins)
+        on, key = own.column or self.field_name, "k"
+        if own.multi:  # a document's keys meet the other side one by one and come back as one row
+            pairs = x.index.df.select(F.col(x.index.id).alias("_id"), F.explode(F.array_distinct(x.column(self.field_name))).alias("k"))
+            keys = pairs.join(keys, "k").groupBy("_id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("max").alias("max"), F.min("min").alias("min"))
+            on, key = x.index.id, "_id"
+        score = {"none": F.lit(0.0), "avg": F.col("total") / F.col("n")}.get(self.score_mode, F.col(self.score_mode) if self.score_mode in ("total", "max", "min") else None)
+        x.joins.append((keys.select(key, score.alias("score")), on, key))
         at = F.col(f"_x{n}")
         return Compiled(at.isNotNull(), F.coalesce(at, F.lit(0.0)))
 

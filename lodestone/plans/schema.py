@@ -111,13 +111,17 @@ class Index:
             return self.fields[name]
         parent, _, child = name.partition(".")
         if child and parent in self.fields:
-            f, at = self.fields[parent], parent
+            f = self.fields[parent]
+            at = f.column or parent
             for part in child.split("."):
                 if part not in f.children:
                     break
-                f, at = f.children[part], f"{at}.{part}"
+                # a child of an object is a part of its value; a child of any other field is the same value indexed anew
+                inside = f.type == "object"
+                f = f.children[part]
+                at = f"{at}.{f.column or part}" if inside else f.column or at
             else:
-                return replace(f, column=f.column or name)
+                return replace(f, column=at)
         raise ValueError(f"unknown field: {name}")
 
     def with_fields(self, extra: dict[str, Field]) -> Index:

@@ -94,6 +94,7 @@ class Request:
     nested_path: str = ""
     terminate_after: int = 0
     fetch_tasks: tuple[str, ...] = ()
+    log_hits: tuple[tuple[str, int], ...] = ()  # (registered logger, hits to log)
 
 
 @dataclass
@@ -260,9 +261,37 @@ def search(index: Index, req: Request) -> Response:
     out = _fetch(index, req, page, x)
     for t in req.fetch_tasks:
         out = lookup("fetch_task", t)(out)
+    for name, n in req.log_hits:
+        lookup("hits_logger", name)(out.limit(n))
     return Response(out, found, cols, fcts)
 
 
+def within(df: DataFrame, seconds: float) -> list:
+    """Rows of ``df``, or ``TimeoutError`` when they take longer: the jobs are cancelled, and there are no partial results."""
+    import threading
+    import uuid
+
+    context, group = df.sparkSession.sparkContext, f"search-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, "search with a time limit", interruptOnCancel=True)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"no answer within {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def _multi(index: Index, req: Request) -> Response:
     if req.query is not None or req.query_text or req.knn or req.sort:
         raise ValueError("retrievers exclude a query, text, vectors and sorting of the request itself")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestone.registry import lookup
 from lodestone.sources.catalog import Catalog
 from lodestone.sources.mutation import latest, upsert
 
@@ -23,3 +24,8 @@ def ingest(stream: DataFrame, catalog: Catalog, name: str, seq: str, checkpoint:
         catalog.commit(name, fresh)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_from(source: str, catalog: Catalog, name: str, seq: str, checkpoint: str, **options: object) -> StreamingQuery:
+    """The same from a registered source: a callable of the session and its options that gives a stream."""
+    return ingest(lookup("ingestion", source)(catalog.spark, **options), catalog, name, seq, checkpoint)

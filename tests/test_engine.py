@@ -179,6 +179,27 @@ def test_cross_index(spark, shops):
     assert scores(shops, CrossIndex(other, "doc_id", "shops", q, "avg"))[1] == 6.0
     with pytest.raises(ValueError):
         found(shops, CrossIndex(other, "doc_id", "shops", q, max_terms=1))
+    colours = Index(spark.createDataFrame([("red", 1.0), ("blue", 3.0), ("blue", 5.0)], "c string, w double"), {"c": Field("atom"), "w": Field("double")}, "c")
+    weight = FunctionScore(MatchAll(), "w")
+    assert scores(shops, CrossIndex(colours, "tags", "c", weight, "total")) == {1: 9.0, 2: 8.0}
+    assert scores(shops, CrossIndex(colours, "tags", "c", weight, "avg")) == {1: 3.0, 2: 4.0}
+
+
+def test_child_fields_index_a_value_anew(spark):
+    df = spark.createDataFrame([(1, "Red Apples"), (2, "red")], "doc_id long, name string")
+    ix = Index(df, {"doc_id": Field("long"), "name": Field("text", children={"keyword": Field("atom"), "english": Field("text", analyzer=an.ENGLISH)})})
+    assert found(ix, Term("name.keyword", "Red Apples")) == [1]
+    assert found(ix, Match("name.english", "apple")) == [1] and found(ix, Match("name", "apple")) == []
+
+
+def test_time_limit(spark):
+    from lodestone.plans.search import within
+
+    assert len(within(spark.range(3), 60)) == 3
+    slow = spark.range(10**12).where("id % 7 = 8").select(F.sum("id"))
+    with pytest.raises(TimeoutError):
+        within(slow, 1)
+    assert spark.range(2).count() == 2
 
 
 def order_of(ix, *sort, **more):
@@ -234,6 +255,18 @@ def test_plugins(shops):
 
     assert collected(shops, Plugin("how_many", {"times": 10}))["c"].first().n == 40
     assert search(shops, Request(fetch_tasks=("mark",))).hits.first().marked
+    @registry.register("script", "twice")
+    def twice(source, x, params):
+        return x.column(source) * 2
+
+    @registry.register("highlighter", "shout")
+    def shout(text, h):
+        return F.array(F.upper(text))
+
+    logged = []
+    registry.register("hits_logger", "keep")(lambda hits: logged.extend(r.doc_id for r in hits.collect()))
+    row = search(shops, Request(query=FunctionScore(Term("doc_id", 2), ("twice", "doc_id")), highlights={"h": Highlight("name", (), plugin="shout")}, log_hits=(("keep", 1),))).hits.first()
+    assert row.score == 4.0 and row.h == ["SECOND VENDOR"] and logged == [2]
     for bad in (lambda: registry.lookup("collector", "none"), lambda: registry.register("none", "x")):
         with pytest.raises(ValueError):
             bad()
