@@ -3,7 +3,8 @@
 For every node of the page's tree: characters per tag, adjusted for links as in the published composite text density.
 The density sum of a node adds those of its children. The path from the body to the densest leaf region gives the
 threshold: its least density. Among the nodes that reach the threshold the one with the largest density sum is the main
-content. Boilerplate (navigation, forms, adverts, comments and the like) is cut from the tree before densities are taken.
+content; without an article or main element around it, so are the largest of the others, one for each section of the text.
+Boilerplate (navigation, forms, adverts, comments and the like) is cut from the tree before densities are taken.
 """
 
 from __future__ import annotations
@@ -32,7 +33,16 @@ KEEP = frozenset("html body article main".split())
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
+WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising advertorial adsense banner banners sponsor sponsored sponsors promo promos promotion promoted sidebar sidebars rail nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot header masthead topbar "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments disqus reply replies respond share sharing social related recommended recommendations widget widgets complementary contentinfo toolbar search skip outbrain taboola login copyright disclaimer".split()
+)
+KEEP = frozenset("html body article main".split())
+TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
+ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
 WORDS = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Open elements that a start tag closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "body": {"head"}}
 STOP = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}, "body": {"html"}}
@@ -126,8 +136,20 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
-def main_node(root: Node) -> Node:
-    """The subtree that composite text density takes for the article."""
+def _widened(found: Node) -> Node:
+    """The block that holds a node, or what holds the paragraph, list or table that it is."""
+    while found.name not in BLOCKS and found.parent is not None:
+        found = found.parent
+    if found.name in ("p", "li", "td", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "dt", "dd", "blockquote", "table", "tbody", "pre", "figure") and found.parent is not None:
+        wide = found.parent
+        while wide.name in ("li", "td", "tr", "ul", "ol", "dl", "dd", "blockquote", "table", "tbody", "figure") and wide.parent is not None:
+            wide = wide.parent
+        found = wide
+    return found
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees that composite text density takes for the article, in page order, none inside another."""
     nodes = _nodes(root)
     for x in reversed(nodes):
         for k in x.kids:
@@ -161,16 +183,38 @@ def main_node(root: Node) -> Node:
     up = found
     while up is not None and up is not body:
         if up.name in ("article", "main"):
-            return up
+            return [up]
         up = up.parent
-    while found.name not in BLOCKS and found.parent is not None:
-        found = found.parent
-    if found.name in ("p", "li", "td", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "dt", "dd", "blockquote", "table", "tbody", "pre", "figure") and found.parent is not None:
-        wide = found.parent
-        while wide.name in ("li", "td", "tr", "ul", "ol", "dl", "dd", "blockquote", "table", "tbody", "figure") and wide.parent is not None:
-            wide = wide.parent
-        found = wide
-    return found
+    # text in several sections has a maximum in each: the largest first, then each that neither holds nor is inside another
+    parts, settled = [], set()
+    passed = [x for x in inside if x.name in BLOCKS and x.density >= threshold and x.density > 0]
+    for x in [found, *sorted(passed, key=lambda x: -x.total)]:
+        if x in settled:
+            continue
+        wide = _widened(x)
+        if wide in settled or x is not found and wide.density < threshold:
+            continue
+        parts.append(wide)
+        settled.update(_nodes(wide))
+        up = wide.parent
+        while up is not None and up not in settled:
+            settled.add(up)
+            up = up.parent
+    if len(parts) == 1:
+        return parts
+    # headings beside the parts belong to the article
+    chosen, out, held = set(parts), [], []
+    stack: list = [body]
+    while stack:
+        x = stack.pop()
+        if x in chosen:
+            out += [*held, x]
+            held = []
+        elif x.name in HEADINGS:
+            held.append(x)
+        else:
+            stack.extend(k for k in reversed(x.kids) if k.__class__ is Node and not k.cut)
+    return out
 
 
 def blocks_of(node: Node) -> list[str]:
@@ -209,7 +253,7 @@ def extract(page: str) -> str:
     """The main text of a page; empty if it has none."""
     if not page.strip():
         return ""
-    return "\n".join(blocks_of(main_node(parse(page))))
+    return "\n".join(block for node in main_nodes(parse(page)) for block in blocks_of(node))
 
 
 def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

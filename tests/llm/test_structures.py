@@ -203,3 +203,12 @@ def test_pages_of_odd_rows(spark):
     assert len(got) == 5 and sum(r.text == WANT for r in got) == 2 and sum(r.n_chars == 0 for r in got) == 2
     assert max(r.n_chars for r in got) == len(("long word " * 50_000).strip())
     assert html.main_text(pages.limit(0)).count() == 0
+
+
+def test_text_in_several_sections_is_kept_whole():
+    body = ["".join(f"<p>{PROSE} {k}{j}</p>" for j in range(5)) for k in range(2)]
+    want = [f"{PROSE.strip()} {k}{j}" for k in range(2) for j in range(5)]
+    links = "<ul>" + "".join(f'<li><a href="/{k}">Item {k}</a></li>' for k in range(12)) + "</ul>"
+    page = f"<html><body><div>{links}</div><div><h1>H</h1><section><h2>A</h2>{body[0]}</section><section><h2>B</h2>{body[1]}</section></div></body></html>"
+    assert html.extract(page).split("\n") == ["H", "A", *want[:5], "B", *want[5:]]
+    assert html.extract(f"<body><div>{body[0]}</div><div>{body[1]}</div></body>").split("\n") == want
