@@ -31,17 +31,13 @@ CUT_WORDS = frozenset(
 )
 KEEP = frozenset("html body article main".split())
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>]+))?")
 SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
-WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial adsense banner banners sponsor sponsored sponsors promo promos promotion promoted sidebar sidebars rail nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot header masthead topbar "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments disqus reply replies respond share sharing social related recommended recommendations widget widgets complementary contentinfo toolbar search skip outbrain taboola login copyright disclaimer".split()
-)
-KEEP = frozenset("html body article main".split())
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
-WORDS = re.compile(r"[a-z]+")
+LEADING = re.compile(r"[^a-z]*([a-z]+)(.*)", re.S)
+#: Why a node is cut: for certain, by a whole name of its class, id or role, or by the leading word of such a name.
+CERTAIN, NAMED, LED = 1, 2, 3
+#: Shares of the page's text outside links from which a name does not cut.
+SPARED = {NAMED: 0.9, LED: 0.5}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Open elements that a start tag closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "body": {"head"}}
@@ -51,25 +47,47 @@ STOP = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"t
 class Node:
     __slots__ = ("name", "kids", "parent", "link", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut")
 
-    def __init__(self, name: str, parent: Node | None, cut: bool = False):
+    def __init__(self, name: str, parent: Node | None, cut: int = 0):
         self.name, self.parent, self.kids, self.cut = name, parent, [], cut
         self.link = name == "a"
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+def _boilerplate(name: str, attributes: str) -> int:
+    """Why a node is no part of the article: 0, ``CERTAIN``, ``NAMED`` or ``LED``."""
     if name in CUT:
-        return True
+        return CERTAIN
     if not attributes or name in KEEP:
-        return False
+        return 0
+    out = 0
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id", "role") and not CUT_WORDS.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+            return CERTAIN
+        if key in ("class", "id", "role"):
+            for word in value.split():
+                led = LEADING.match(word)
+                if led and led[1] in CUT_WORDS and out != NAMED:
+                    out = LED if led[2] else NAMED
+    return out
+
+
+def _spare(root: Node) -> None:
+    """Keep what is cut by a name alone but holds so much of the page's text outside links that it is the article's wrapper."""
+    nodes, i, named = [root], 0, False
+    while i < len(nodes):
+        named |= nodes[i].cut > CERTAIN
+        nodes.extend(k for k in nodes[i].kids if k.__class__ is Node and k.cut != CERTAIN)
+        i += 1
+    if not named:
+        return
+    held: dict[Node, int] = {}
+    for x in reversed(nodes):
+        held[x] = 0 if x.link else sum(held.get(k, 0) if k.__class__ is Node else len(k.strip()) for k in x.kids)
+    for x in nodes:
+        if x.cut > CERTAIN and held[x] and held[x] >= SPARED[x.cut] * held[root]:
+            x.cut = 0
 
 
 def parse(page: str) -> Node:
@@ -150,6 +168,7 @@ def _widened(found: Node) -> Node:
 
 def main_nodes(root: Node) -> list[Node]:
     """The subtrees that composite text density takes for the article, in page order, none inside another."""
+    _spare(root)
     nodes = _nodes(root)
     for x in reversed(nodes):
         for k in x.kids:

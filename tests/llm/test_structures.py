@@ -212,3 +212,10 @@ def test_text_in_several_sections_is_kept_whole():
     page = f"<html><body><div>{links}</div><div><h1>H</h1><section><h2>A</h2>{body[0]}</section><section><h2>B</h2>{body[1]}</section></div></body></html>"
     assert html.extract(page).split("\n") == ["H", "A", *want[:5], "B", *want[5:]]
     assert html.extract(f"<body><div>{body[0]}</div><div>{body[1]}</div></body>").split("\n") == want
+
+
+def test_names_do_not_cut_the_article():
+    for wrapper in ("class='content with-sidebar'", "id='post' class='comments-open'", "class='share'", "data-id='share'", "title='The hidden lake'", "data-x='class=ads'"):
+        assert html.extract(f"<body><div {wrapper}>{ARTICLE}</div><div class='sidebar'>Other</div></body>") == WANT, wrapper
+    kept = html.extract(f"<article>{ARTICLE}<p title='The hidden lake'>One</p><p><a href='/hidden-valley'>Two</a> <b href=/hidden>three</b></p><p hidden>no</p><p class='x ads'>no</p><p CLASS=ad-slot>no</p><p style='display: none'>no</p></article>")
+    assert kept == WANT + "\nOne\nTwo three"
