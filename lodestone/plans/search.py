@@ -76,7 +76,7 @@ class Request:
     query: Query | None = None
     query_text: str = ""
     knn: tuple[Knn, ...] = ()
-    top_hits: int = 10
+    top_hits: int | None = 10  # None: every row that matches, in no order unless one is asked for
     start: int = 0
     sort: tuple[SortField, ...] = ()
     search_after: tuple | None = None  # (values, last id)
@@ -257,7 +257,12 @@ def search(index: Index, req: Request) -> Response:
             (last,), last_id = req.search_after
             hits = hits.where((F.col("_score") < last) | ((F.col("_score") == last) & (F.col(index.id) > last_id)))
         ranks = [F.desc("_score")]
-    page = hits.orderBy(*ranks, F.col(index.id)).limit(req.top_hits).offset(req.start)
+    if req.top_hits is not None:
+        page = hits.orderBy(*ranks, F.col(index.id)).limit(req.top_hits).offset(req.start)
+    elif req.sort or req.start:
+        page = hits.orderBy(*ranks, F.col(index.id)).offset(req.start)
+    else:
+        page = hits
     out = _fetch(index, req, page, x)
     for t in req.fetch_tasks:
         out = lookup("fetch_task", t)(out)
@@ -295,6 +300,8 @@ def within(df: DataFrame, seconds: float) -> list:
 def _multi(index: Index, req: Request) -> Response:
     if req.query is not None or req.query_text or req.knn or req.sort:
         raise ValueError("retrievers exclude a query, text, vectors and sorting of the request itself")
+    if req.top_hits is None:
+        raise ValueError("blending needs top_hits")
     lists, union = [], None
     for r in req.retrievers:
         if r.knn is not None:

@@ -20,6 +20,7 @@ from lodestone.plans.query import (
 from lodestone.plans.querystring import parse as parse_text
 from lodestone.plans.schema import Field, Index, from_strings
 from lodestone.plans.search import InnerHits, Knn, Request, Rescorer, Retriever, search
+from lodestone.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -398,3 +399,21 @@ def test_collect_is_the_same_when_rows_are_shuffled(shops):
     a = collect(shops.df.withColumn("_score", F.lit(1.0)), Context(shops), {"t": Terms("tags", 3)})["t"].collect()
     b = collect(moved.df.withColumn("_score", F.lit(1.0)), Context(moved), {"t": Terms("tags", 3)})["t"].collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_all_matches_are_fetched(spark, tmp_path):
+    spark.range(1200).selectExpr("id AS doc_id", "concat('an idiot number ', id) AS text", "'en' AS lang", "'s' AS source", "20L AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["highlight_whole_field"](spark, str(tmp_path)).collect()
+    assert len(got) == 1200 and all(r.marked == f"an <em>idiot</em> number {r.doc_id}" for r in got)
+    df = spark.range(30).selectExpr("id AS doc_id", "id % 7 AS count")
+    ix = Index(df, {"doc_id": Field("long"), "count": Field("int")})
+    assert search(ix, Request(query=Range("count", 1, None), top_hits=None)).hits.count() == 25
+    ids = [r.doc_id for r in search(ix, Request(query=MatchAll(), sort=(SortField("count"),), top_hits=None, start=2)).hits.collect()]
+    assert ids == sorted(range(30), key=lambda i: (i % 7, i))[2:]
+
+
+def test_all_orders_have_inner_hits(spark, tmp_path):
+    n = 100_010
+    spark.range(n).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "500000D AS o_totalprice", "DATE'1995-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(n).selectExpr("id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1L AS l_linenumber", "20D AS l_quantity", "1D AS l_extendedprice", "0D AS l_discount", "0D AS l_tax", "'R' AS l_returnflag", "'F' AS l_linestatus", "DATE'1995-01-01' AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert QUERIES["inner_hits"](spark, str(tmp_path)).count() == n
