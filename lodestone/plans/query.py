@@ -220,10 +220,10 @@ class Context:
             return Compiled(F.array_contains(toks, term), self.term_score(name, idf, F.size(F.filter(toks, lambda t: t == term))))
         return Compiled(sure(self._has(name, term)), self.term_score(name, idf, F.lit(1)))
 
-    def expand(self, name: str, test: Callable[[Column], Column], limit: int) -> list[str]:
-        """The first ``limit`` terms of the dictionary, in order, that pass: a distinct over the tokens, then a small collect."""
+    def expand(self, name: str, test: Callable[[Column], Column], limit: int, rank: Callable[[Column], Column] | None = None) -> list[str]:
+        """The first ``limit`` terms of the dictionary that pass, by ``rank`` if given and then in order: a distinct over the tokens, then a small collect."""
         df = self.with_tokens([name] if self.index.field(name).type == "text" else [])
-        terms = df.select(F.explode(self.tokens(name)).alias("t")).where(test(F.col("t"))).distinct().orderBy("t").limit(limit)
+        terms = df.select(F.explode(self.tokens(name)).alias("t")).where(test(F.col("t"))).distinct().orderBy(*([rank(F.col("t"))] if rank else []), "t").limit(limit)
         return [r[0] for r in terms.collect()]
 
     def child(self, path: str, item: Column) -> Context:
@@ -567,6 +567,18 @@ def fuzzy_test(term: str, edits: int, prefix: int = 0, transpositions: bool = Fa
     return test
 
 
+def fuzzy_rank(term: str, edits: int, transpositions: bool = False) -> Callable[[Column], Column]:
+    """The fewest edits, up to ``edits``, by which a token passes ``fuzzy_test``."""
+
+    def rank(t: Column) -> Column:
+        out = F.when(t == term, 0)
+        for n in range(1, edits):
+            out = out.when(fuzzy_test(term, n, 0, transpositions)(t), n)
+        return out.otherwise(edits)
+
+    return rank
+
+
 def auto_edits(term: str, low: int = 3, high: int = 6) -> int:
     """0, 1 or 2 edits by the term's bytes."""
     if low < 0 or low >= high:
@@ -577,11 +589,14 @@ def auto_edits(term: str, low: int = 3, high: int = 6) -> int:
 
 @dataclass(frozen=True)
 class Fuzzy:
-    """Options of fuzzy matching; ``edits`` None is automatic."""
+    """Options of fuzzy matching; ``edits`` None is automatic.
+
+    The closest ``max_expansions`` terms count; with None every term within the edits does, at a constant score.
+    """
 
     edits: int | None = None
     prefix_length: int = 0
-    max_expansions: int = 50
+    max_expansions: int | None = 50
     transpositions: bool = False
     low: int = 3
     high: int = 6
@@ -611,7 +626,10 @@ class Match(Query):
     def _one(self, x: Context, term: str) -> Compiled:
         if self.fuzzy is None or not (edits := self.fuzzy.of(term)):
             return x.term(self.field_name, term)
-        terms = x.expand(self.field_name, fuzzy_test(term, edits, self.fuzzy.prefix_length, self.fuzzy.transpositions), self.fuzzy.max_expansions)
+        test = fuzzy_test(term, edits, self.fuzzy.prefix_length, self.fuzzy.transpositions)
+        if self.fuzzy.max_expansions is None:
+            return constant(F.exists(x.tokens(self.field_name), lambda t: sure(test(t))))
+        terms = x.expand(self.field_name, test, self.fuzzy.max_expansions, fuzzy_rank(term, edits, self.fuzzy.transpositions))
         return combine([], [x.term(self.field_name, t) for t in terms], [], [], 1) if terms else MatchNone().build(x)
 
 
@@ -1090,8 +1108,11 @@ class SpanFuzzy(Span):
     fuzzy: Fuzzy = Fuzzy(2, transpositions=True)
 
     def test(self, x: Context) -> Callable[[Column], Column]:
-        test = fuzzy_test(self.term, self.fuzzy.of(self.term), self.fuzzy.prefix_length, self.fuzzy.transpositions)
-        terms = x.expand(self.field_name, test, self.fuzzy.max_expansions)
+        edits = self.fuzzy.of(self.term)
+        test = fuzzy_test(self.term, edits, self.fuzzy.prefix_length, self.fuzzy.transpositions)
+        if self.fuzzy.max_expansions is None:
+            return test
+        terms = x.expand(self.field_name, test, self.fuzzy.max_expansions, fuzzy_rank(self.term, edits, self.fuzzy.transpositions))
         return lambda t: t.isin(terms) if terms else F.lit(False)
 
 

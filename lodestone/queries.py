@@ -220,7 +220,7 @@ simple("bool_empty", lambda s, d: scored(documents(s, d), Bool()), "SELECT doc_i
 simple("match_or", lambda s, d: ranked(documents(s, d), Match("text", "The idiot of"), 10), top(f"{has('the')} OR {has('idiot')} OR {has('of')}", f"{bm('the')} + {bm('idiot')} + {bm('of')}", 10))
 simple("match_and", lambda s, d: ranked(documents(s, d), Match("text", "with that", "and")), top(f"{has('with')} AND {has('that')}", f"{bm('with')} + {bm('that')}"))
 simple("match_min_should", lambda s, d: ranked(documents(s, d), Match("text", "the und les que", minimum_should_match=2)), top(f"{has('the')}::INT + {has('und')}::INT + {has('les')}::INT + {has('que')}::INT >= 2", f"{bm('the')} + {bm('und')} + {bm('les')} + {bm('que')}"))
-simple("match_fuzzy", lambda s, d: matched(documents(s, d), Match("text", "idoit", fuzzy=Fuzzy(2))), D + ", v AS (SELECT DISTINCT t FROM (SELECT unnest(tok) AS t FROM d) WHERE abs(length(t) - 5) <= 2 AND levenshtein(regexp_replace(t, '[^\x00-\x7f]', '#', 'g'), 'idoit') <= 2 ORDER BY t LIMIT 50) SELECT doc_id FROM d WHERE list_has_any(tok, (SELECT list(t) FROM v))")
+simple("match_fuzzy", lambda s, d: matched(documents(s, d), Match("text", "idoit", fuzzy=Fuzzy(2, max_expansions=None))), D + ", v AS (SELECT DISTINCT t FROM (SELECT unnest(tok) AS t FROM d) WHERE abs(length(t) - 5) <= 2 AND levenshtein(regexp_replace(t, '[^\x00-\x7f]', '#', 'g'), 'idoit') <= 2 ORDER BY t LIMIT 50) SELECT doc_id FROM d WHERE list_has_any(tok, (SELECT list(t) FROM v))")
 _STARTS2 = "len(list_filter(range(1, len(tok)), lambda i: tok[i] = '{a}' AND tok[i + 1] = '{b}'))"
 _OF_THE = _STARTS2.format(a="of", b="the")
 _PHRASE = f"({idf(df_of('of'))} + {idf(df_of('the'))}) * {saturated(_OF_THE)}"
@@ -323,7 +323,7 @@ def some(test: str) -> str:
 
 
 simple("span_wildcard", lambda s, d: matched(documents(s, d), SpanWildcard("text", "th?nti*ed")), some("regexp_full_match(t, 'th.nti.*ed')"))
-simple("span_fuzzy", lambda s, d: matched(documents(s, d), SpanFuzzy("text", "pathetik", Fuzzy(1))), D + ", v AS (SELECT DISTINCT t FROM (SELECT unnest(tok) AS t FROM d) WHERE levenshtein(t, 'pathetik') <= 1 ORDER BY t LIMIT 50) SELECT doc_id FROM d WHERE list_has_any(tok, (SELECT list(t) FROM v))")
+simple("span_fuzzy", lambda s, d: matched(documents(s, d), SpanFuzzy("text", "pathetik", Fuzzy(1, max_expansions=None))), D + ", v AS (SELECT DISTINCT t FROM (SELECT unnest(tok) AS t FROM d) WHERE levenshtein(t, 'pathetik') <= 1 ORDER BY t LIMIT 50) SELECT doc_id FROM d WHERE list_has_any(tok, (SELECT list(t) FROM v))")
 simple("span_prefix", lambda s, d: matched(documents(s, d), SpanPrefix("text", "ouan")), some("starts_with(t, 'ouan')"))
 simple("span_regexp", lambda s, d: matched(documents(s, d), SpanRegexp("text", "(en|on)(th)+e[dr]")), some("regexp_full_match(t, '(en|on)(th)+e[dr]')"))
 simple("span_term_range", lambda s, d: matched(documents(s, d), SpanRange("text", "idi", "idj")), some("t >= 'idi' AND t <= 'idj'"))

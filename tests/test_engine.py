@@ -417,3 +417,18 @@ def test_all_orders_have_inner_hits(spark, tmp_path):
     spark.range(n).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "500000D AS o_totalprice", "DATE'1995-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
     spark.range(n).selectExpr("id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1L AS l_linenumber", "20D AS l_quantity", "1D AS l_extendedprice", "0D AS l_discount", "0D AS l_tax", "'R' AS l_returnflag", "'F' AS l_linestatus", "DATE'1995-01-01' AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert QUERIES["inner_hits"](spark, str(tmp_path)).count() == n
+
+
+def test_fuzzy_terms_are_the_closest(spark, tmp_path):
+    far = [f"{a}{b}oit" for a in "abcdefgh" for b in "abcefghk"]  # 64 terms two edits from idoit, all before it
+    words = [*far, "idoit", "idiot", "zdoit"]
+    df = spark.createDataFrame([(i, w, "en", "s", 5) for i, w in enumerate(words)], "doc_id long, text string, lang string, source string, n_chars long")
+    ix = Index(df, {"doc_id": Field("long"), "text": Field("text")})
+    last = list(range(len(words)))
+    assert {64, 66} <= set(found(ix, Match("text", "idoit", fuzzy=Fuzzy(2)))) and len(found(ix, Match("text", "idoit", fuzzy=Fuzzy(2)))) == 50
+    assert found(ix, Match("text", "idoit", fuzzy=Fuzzy(2, max_expansions=2))) == [64, 66]
+    assert found(ix, Match("text", "idoit", fuzzy=Fuzzy(2, max_expansions=3, transpositions=True))) == [64, 65, 66]
+    assert found(ix, SpanFuzzy("text", "idoit", Fuzzy(2, max_expansions=2))) == [64, 66]
+    assert found(ix, SpanFuzzy("text", "idoit", Fuzzy(2, max_expansions=None))) == last
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in QUERIES["match_fuzzy"](spark, str(tmp_path)).collect()) == last
