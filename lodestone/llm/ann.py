@@ -127,6 +127,10 @@ def search(table: DataFrame, query_ids: np.ndarray, queries: np.ndarray, book: C
             near[qids[a : a + 128, None] == ids] = np.inf
             n = min(keep, len(ids))
             best = np.argpartition(near, n - 1, axis=1)[:, :n]
+            bound = np.take_along_axis(near, best, 1).max(1)
+            for i in np.flatnonzero((near <= bound[:, None]).sum(1) > n):  # ties at the bound: the smaller ids first
+                tied = np.flatnonzero(near[i] <= bound[i])
+                best[i] = tied[np.lexsort((ids[tied], near[i, tied]))[:n]]
             distance = np.sqrt(((exact[best] - q[:, None, :]) ** 2).sum(2))
             distance[np.isinf(np.take_along_axis(near, best, 1))] = np.inf
             order = np.lexsort((ids[best], distance), axis=1)[:, :k]

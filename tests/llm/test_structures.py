@@ -219,3 +219,12 @@ def test_names_do_not_cut_the_article():
         assert html.extract(f"<body><div {wrapper}>{ARTICLE}</div><div class='sidebar'>Other</div></body>") == WANT, wrapper
     kept = html.extract(f"<article>{ARTICLE}<p title='The hidden lake'>One</p><p><a href='/hidden-valley'>Two</a> <b href=/hidden>three</b></p><p hidden>no</p><p class='x ads'>no</p><p CLASS=ad-slot>no</p><p style='display: none'>no</p></article>")
     assert kept == WANT + "\nOne\nTwo three"
+
+
+def test_equal_vectors_tie_to_the_smaller_id(spark):
+    rng = np.random.default_rng(3)
+    other = [(i, rng.normal(size=4).tolist()) for i in range(1000, 1300)]
+    rows = [(int(i), [1.0, 0.5, 0.25, 2.0]) for i in rng.permutation(400)] + other + [(5000, [1.0, 0.5, 0.25, 2.1])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = sorted((r["rank"], r.vec_id) for r in ann.nearest(e, e.where("vec_id = 5000")).collect())
+    assert got == [(k + 1, k) for k in range(10)]
