@@ -58,3 +58,11 @@ def test_nulls_pass_the_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
     assert docs.count() >= 1
+
+
+def test_toxicity_stage_loses_few_of_many_toxic_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
+    left = dict(corpus_pipeline.STAGES)["toxicity"](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    survivors = toxic & {r.doc_id for r in left.select("doc_id").collect()}
+    assert len(toxic) >= 20 and len(survivors) <= 0.1 * len(toxic), (len(toxic), len(survivors))
