@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -26,12 +27,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The cluster's checkpoint folder. Only a local session, whose one machine does all, may go without and gets a temporary one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context.isDefined():
             return context.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -47,6 +50,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, once their result is saved."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table that ``saved`` wrote, once no later plan reads it."""
     spark = df.sparkSession
@@ -65,6 +74,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def met_by_key(left: DataFrame, right: DataFrame, key: str, rows: int, share: int = 1000) -> DataFrame:
+    """Inner join with ``right``, which has each key once and in ``n`` the number of its rows in ``left``, of ``rows`` in all.
+
+    Keys with more than one row in ``share`` are fewer than ``share``: that part of ``right`` is broadcast, so hot keys do not gather.
+    """
+    hot = F.col("n") * share > rows
+    few = F.broadcast(right.where(hot)).drop("n")
+    rest = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti")
+    return left.join(few, key).union(rest.join(right.where(~hot).drop("n"), key))
+
+
 def column_at(df: DataFrame, name: str) -> int:
     """Place of a column by exact name first, so that extra columns that differ only in case do not clash."""
     same = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
