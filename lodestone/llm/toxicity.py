@@ -20,34 +20,47 @@ from .common import over_text, take, texts_of
 
 BITS = 20
 ORDERS = (4, 5, 6)
-GAP = max(ORDERS)
-
-
-def hashed(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Start of each text in the joined characters, and for each order the hashed n-gram at each place."""
-    chars = np.frombuffer(("\n" * GAP).join(["", *(" " + t.lower() + " " for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter((len(t.lower()) + 2 + GAP for t in texts), np.int64, len(texts))
-    starts = GAP + np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(texts) else np.zeros(0, np.int64)
-    space = (chars <= 32) & (chars != 10)
-    mixed = np.where(space, np.uint32(32), chars) * np.uint32(2654435761)
-    out, h = [], mixed.copy()
-    for n in range(2, max(ORDERS) + 1):
-        h = h[:-1] * np.uint32(0x01000193) ^ mixed[n - 1 :]
-        if n in ORDERS:
-            g = h ^ (h >> np.uint32(15))
-            out.append((g * np.uint32(0x85EBCA6B + 2 * n)) >> np.uint32(32 - BITS))
-    return starts, out
-
-
-def rows_of(starts: np.ndarray, grams: list[np.ndarray], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) once for each feature that a text holds; ``known`` maps hashes to features, -1 none."""
+
+
+def pieces_of(texts: list[str], chars: int = 250_000) -> Iterator[tuple[list[int], list[str]]]:
+    """Lower-case texts between spaces, in groups of about so many characters, with the place of each in the list.
+
+    A longer text is cut into pieces that share as many characters as the longest n-gram has but one, so none is lost.
+    """
+    places, held, total = [], [], 0
+    for i, t in enumerate(texts):
+        t = f" {t.lower()} "
+        for start in range(0, max(1, len(t) - max(ORDERS) + 1), chars):
+            piece = t[start : start + chars + max(ORDERS) - 1]
+            if total and total + len(piece) > chars:
+                yield places, held
+                places, held, total = [], [], 0
+            places.append(i)
+            held.append(piece)
+            total += len(piece)
+    if held:
+        yield places, held
+
+
+def features_of(texts: list[str], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) once for each feature that a text holds; ``known`` maps hashed n-grams to features, -1 none.
+
+    An n-gram lies within one text, so a text's features do not depend on the texts beside it.
+    """
     pairs = []
-    for g in grams:
-        f = g if known is None else known[g]
-        at = np.arange(len(f)) if known is None else np.flatnonzero(f >= 0)
-        doc = np.searchsorted(starts, at, side="right") - 1
-        ok = doc >= 0
-        pairs.append(doc[ok] << 32 | f[at[ok]].astype(np.int64))
+    for places, held in pieces_of(texts):
+        chars = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.fromiter(map(len, held), np.int64, len(held))
+        text = np.repeat(np.array(places, np.int64), lengths)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))  # characters from here to the end of the piece
+        h = mixed = np.where(chars <= 32, np.uint32(32), chars) * np.uint32(2654435761)
+        for n in range(2, max(ORDERS) + 1):
+            h = h[:-1] * np.uint32(0x01000193) ^ mixed[n - 1 :]
+            if n in ORDERS:
+                g = ((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)) >> np.uint32(32 - BITS)
+                f = g if known is None else known[g]
+                at = np.flatnonzero((left[: len(f)] >= n) & (f >= 0))
+                pairs.append(text[at] << 32 | f[at].astype(np.int64))
     both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
     return both >> 32, both & 0xFFFFFFFF
 
@@ -83,7 +96,7 @@ class Scorer:
         self.known[model.hashes] = np.arange(len(model.hashes))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        doc, feature = rows_of(*hashed(texts), self.known)
+        doc, feature = features_of(texts, self.known)
         z = self.model.bias + np.bincount(doc, self.model.weights[feature], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
@@ -99,7 +112,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, features: int = 3000, alpha:
     n0 = len(y) - n1
     df1, df0 = np.zeros(size), np.zeros(size)
     for a, b in parts_of(texts):
-        doc, gram = rows_of(*hashed(texts[a:b]))
+        doc, gram = features_of(texts[a:b])
         toxic = y[a + doc] == 1
         df1 += np.bincount(gram[toxic], minlength=size)
         df0 += np.bincount(gram[~toxic], minlength=size)
@@ -110,7 +123,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, features: int = 3000, alpha:
     ratio = np.log((df1[keep] + alpha) / (n1 + 2 * alpha)) - np.log((df0[keep] + alpha) / (n0 + 2 * alpha))
     known = np.full(size, -1, np.int64)
     known[keep] = np.arange(len(keep))
-    found = [(a, *rows_of(*hashed(texts[a:b]), known)) for a, b in parts_of(texts)]
+    found = [(a, *features_of(texts[a:b], known)) for a, b in parts_of(texts)]
     doc = np.concatenate([a + d for a, d, _ in found])
     feature = np.concatenate([f for _, _, f in found])
     x = ratio[feature]
@@ -138,10 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     one = good.groupBy("doc_id").agg(F.max(label).alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = one.where("label = 1").orderBy(*order).limit(per_class).union(one.where("label = 0").orderBy(*order).limit(per_class))
-    d = take(docs, "doc_id", "text")
-    rows = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()  # 2 * per_class ids are broadcast
-    rows = {r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))}.values()
-    return fit_texts([r.text or "" for r in rows], np.array([r.label for r in rows]), **options)
+    d = take(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # 2 * per_class ids are broadcast; of repeated ids the largest text counts, so as many texts at most reach the driver
+    rows = d.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label")).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    return fit_texts([r.text for r in rows], np.array([r.label for r in rows]), **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
