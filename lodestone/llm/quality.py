@@ -129,8 +129,10 @@ def order_rules(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[int]:
 
 
 def sample_texts(docs: DataFrame, sample: int = 256, text_col: str = "text") -> list[str]:
-    """The bounded sample on which costs are measured; it only decides the order of the rules."""
-    return [r[0] or "" for r in take(docs, text_col).limit(sample).collect()]
+    """About ``sample`` texts, each row with the same chance, on which costs are measured; they only decide the order."""
+    d = take(docs, text_col)
+    rows = d.count()
+    return [r[0] or "" for r in d.sample(min(1.0, sample / rows), seed=11).collect()] if rows else []
 
 
 def verdict(f: Features, order: list[int], rules: tuple[Rule, ...] = RULES) -> str | None:
@@ -141,22 +143,21 @@ def verdict(f: Features, order: list[int], rules: tuple[Rule, ...] = RULES) -> s
 def assess(docs: DataFrame, order: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = 256) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` of each whole text.
 
-    Null and empty texts have no words, so they fail the base; repeated rows give repeated results; an empty table
-    gives no rows; other columns are not read. No shuffle.
+    A report of every feature, so here the cascade spares only the rules after the first that rejects; ``keep_good`` also spares
+    their features. Null and empty texts have no words, so they fail the base; repeated rows give repeated results; an
+    empty table gives no rows; other columns are not read. No shuffle.
     """
     order = order_rules(sample_texts(docs, sample, text_col)) if order is None else order
     d = take(docs, id_col, text_col)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
     def run(batch: pa.RecordBatch) -> dict:
-        fs = [Features(t) for t in texts_of(batch, text_col)]
-        kept = []
-        out = {n: [] for n in names}
-        for f in fs:
+        kept, out = [], {n: [] for n in names}
+        for t in texts_of(batch, text_col):
+            f = Features(t)
+            kept.append(verdict(f, order) is None)  # the cascade first, then what of the report it left open
             for n in names:
                 out[n].append(getattr(f, n))
-            kept.append(not f.base_failed and verdict(f, order) is None)
-            f.__dict__.clear()
         return {id_col: batch.column(0), "kept": kept} | out
 
     schema = f"{id_col} {d.dtypes[0][1]}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean"
