@@ -1,6 +1,8 @@
 """Main text of web pages (operator 9): composite text density.
 
-For every node of the page's tree: characters per tag, adjusted for links as in the published composite text density.
+For every node of the page's tree: characters per tag, adjusted for links as in the published composite text density, but
+divided by ``ln(...)`` where that takes a logarithm to the base ``ln(...)``: the base is 1, and the density without a value, on a
+page without links.
 The density sum of a node adds those of its children. The path from the body to the densest leaf region gives the
 threshold: its least density. Among the nodes that reach the threshold the one with the largest density sum is the main
 content; without an article or main element around it, so are the largest of the others, one for each section of the text.
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -23,21 +26,23 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-CUT = frozenset("head script style noscript iframe template nav header footer aside form button select textarea input svg canvas object embed menu dialog title xmp noembed noframes audio video map".split())
+CUT = frozenset("head script style noscript iframe template nav header footer aside button select textarea input svg canvas object embed menu dialog title xmp noembed noframes audio video map".split())
 #: Words of class, id and role that name what is not the article.
 CUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial adsense banner banners sponsor sponsored sponsors promo promos promotion promoted sidebar sidebars rail nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot header masthead topbar "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments disqus reply replies respond share sharing social related recommended recommendations widget widgets complementary contentinfo toolbar search skip outbrain taboola login copyright disclaimer".split()
 )
 KEEP = frozenset("html body article main".split())
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>]+))?")
+#: An attribute: a name, and after an equals sign a value in quotes or one up to white space, in which quotes are characters.
+NAME, VALUE = r"[^\s/>=]++", r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+"
+TAG = re.compile(rf"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[\s/=]++|{NAME}(?:\s*+=\s*+(?:{VALUE})?+)?+)*+)(?:>|\Z))", re.S)
+ATTRIBUTE = re.compile(rf"({NAME})(?:\s*+=\s*+({VALUE})?+)?+")
 SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
 LEADING = re.compile(r"[^a-z]*([a-z]+)(.*)", re.S)
-#: Why a node is cut: for certain, by a whole name of its class, id or role, or by the leading word of such a name.
-CERTAIN, NAMED, LED = 1, 2, 3
-#: Shares of the page's text outside links from which a name does not cut.
-SPARED = {NAMED: 0.9, LED: 0.5}
+#: Why a node is cut: for certain, by a whole name of its class, id or role, by the leading word of such a name, or as a form.
+CERTAIN, NAMED, LED, FORM = 1, 2, 3, 4
+#: Shares of the page's text outside links from which a name, or being a form, does not cut.
+SPARED = {NAMED: 0.9, LED: 0.5, FORM: 0.5}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Open elements that a start tag closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "body": {"head"}}
@@ -55,12 +60,12 @@ class Node:
 
 
 def _boilerplate(name: str, attributes: str) -> int:
-    """Why a node is no part of the article: 0, ``CERTAIN``, ``NAMED`` or ``LED``."""
+    """Why a node is no part of the article: 0, ``CERTAIN``, ``NAMED``, ``LED`` or ``FORM``."""
     if name in CUT:
         return CERTAIN
+    out = FORM if name == "form" else 0
     if not attributes or name in KEEP:
-        return 0
-    out = 0
+        return out
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
@@ -68,13 +73,13 @@ def _boilerplate(name: str, attributes: str) -> int:
         if key in ("class", "id", "role"):
             for word in value.split():
                 led = LEADING.match(word)
-                if led and led[1] in CUT_WORDS and out != NAMED:
+                if led and led[1] in CUT_WORDS and out not in (NAMED, FORM):
                     out = LED if led[2] else NAMED
     return out
 
 
 def _spare(root: Node) -> None:
-    """Keep what is cut by a name alone but holds so much of the page's text outside links that it is the article's wrapper."""
+    """Keep what is cut by a name alone, or as a form, but holds so much of the page's text outside links that it is the article's wrapper."""
     nodes, i, named = [root], 0, False
     while i < len(nodes):
         named |= nodes[i].cut > CERTAIN
@@ -90,58 +95,85 @@ def _spare(root: Node) -> None:
             x.cut = 0
 
 
+class Open:
+    """The open elements: a stack, with the places of each name and of blocks, so that no tag walks up the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.names, self.blocks = [root], {}, []
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of that name; 0 is none."""
+        at = self.names.get(name)
+        return at[-1] if at else 0
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.names.setdefault(node.name, []).append(at)
+        if node.name in BLOCKS:
+            self.blocks.append(at)
+
+    def close(self, at: int) -> None:
+        """Close the element at that place and all inside it."""
+        while len(self.stack) > at:
+            name = self.stack.pop().name
+            self.names[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+
+    def outermost(self, names: set[str], stop: int) -> int:
+        """Place of the outermost open element of those names inside ``stop``; 0 is none."""
+        found = 0
+        for name in names:
+            at = self.names.get(name)
+            if at and at[-1] > stop:
+                first = at[bisect_right(at, stop)]
+                found = min(found or first, first)
+        return found
+
+
 def parse(page: str) -> Node:
     """The tree of a page, forgiving as browsers are: implied ends, stray ends, and an end at the end of the text."""
-    root = now = Node("#root", None)
+    root = Node("#root", None)
+    up = Open(root)
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         if m is None:
-            now.kids.append(page[at:])
+            up.stack[-1].kids.append(page[at:])
             break
         if m.start() > at:
-            now.kids.append(page[at : m.start()])
+            up.stack[-1].kids.append(page[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             if page.startswith("<![CDATA[", m.start()):
-                now.kids.append(page[m.start() + 9 : at].removesuffix("]]>").replace("&", "&amp;"))
+                up.stack[-1].kids.append(page[m.start() + 9 : at].removesuffix("]]>").replace("&", "&amp;"))
             continue
         name = name.lower()
         if m[1]:
             if name == "br":
-                now.kids.append(" ")
+                up.stack[-1].kids.append(" ")
                 continue
-            up = now
-            while up is not root and up.name != name:
-                if up.name in ("article", "td", "body") and name not in BLOCKS:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                now = up.parent
+            place = up.last(name)
+            if place and (name in BLOCKS or place >= max(map(up.last, ("article", "td", "body")))):
+                up.close(place)
             continue
-        if name in BLOCKS:  # a block ends an open paragraph
-            up = now
-            while up is not root and up.name not in BLOCKS:
-                up = up.parent
-            if up.name == "p":
-                now = up.parent
+        if name in BLOCKS and up.blocks and up.stack[up.blocks[-1]].name == "p":  # a block ends an open paragraph
+            up.close(up.blocks[-1])
         if name in CLOSES:
-            up, stop = now, STOP[name]
-            while up is not root and up.name not in stop:
-                if up.name in CLOSES[name]:
-                    now = up.parent
-                up = up.parent
-        node = Node(name, now, _boilerplate(name, m[3]))
-        now.kids.append(node)
+            place = up.outermost(CLOSES[name], max(map(up.last, STOP[name])))
+            if place:
+                up.close(place)
+        node = Node(name, up.stack[-1], _boilerplate(name, m[3]))
+        up.stack[-1].kids.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*(?=[\s/>])", re.I).search(page, at)
             node.kids.append(page[at : end.start() if end else n])
             at = end.start() if end else n
-            now = node
+            up.push(node)
         elif name not in VOID and not m[3].rstrip().endswith("/"):
-            now = node
+            up.push(node)
     return root
 
 
@@ -166,9 +198,8 @@ def _widened(found: Node) -> Node:
     return found
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The subtrees that composite text density takes for the article, in page order, none inside another."""
-    _spare(root)
+def measure(root: Node) -> Node:
+    """Set the characters, tags, density and density sum of every node that is not cut; returns the body."""
     nodes = _nodes(root)
     for x in reversed(nodes):
         for k in x.kids:
@@ -189,6 +220,13 @@ def main_nodes(root: Node) -> list[Node]:
             x.density = c / t * max(0.0, math.log(c / max(1, lc) * (t / max(1, lt)))) / base
         below = [k.density for k in x.kids if k.__class__ is Node and not k.cut]
         x.total = sum(below) if below else x.density
+    return body
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees that composite text density takes for the article, in page order, none inside another."""
+    _spare(root)
+    body = measure(root)
     inside = _nodes(body)
     densest = max(inside, key=lambda x: x.total)
     threshold, up = math.inf, densest
