@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_at, dropped, numbered, over_text, saved, take, texts_of
+from .common import column_at, dropped, met_by_key, numbered, over_text, saved, take, texts_of
 
 RADIUS = 3
 SEED = 42
@@ -114,10 +114,10 @@ def components(edges: DataFrame) -> DataFrame:
     links no longer change, which one row of sums tells the driver.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, rows: int, large: bool) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        j = both.join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        j = met_by_key(both, low, "u", rows)
         if large:
             out = j.where("v > u").select(F.col("m").alias("u"), "v")
         else:
@@ -130,7 +130,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = saved(edges, "links")
     was = state(now)
     while was[0]:
-        after = saved(star(star(now, True), False), "stars")
+        after = saved(star(star(now, was[0], True), was[0], False), "stars")
         new = state(after)
         dropped(now)
         now = after
@@ -149,12 +149,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows; other columns are not read.
     """
     rows = saved(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
+    fps = saved(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "different")
     linked = components(links(fps.select("fp"), radius))
-    roots = fps.join(linked.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = fps.join(linked.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select(id_col, "fingerprint", "component_id", "root")
+    named = roots.join(least, "root").select("fp", "root", "component_id", "n")
+    return met_by_key(rows, named, "fp", fps.agg(F.sum("n")).first()[0] or 0).select(id_col, "fingerprint", "component_id", "root")
 
 
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
