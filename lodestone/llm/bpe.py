@@ -21,8 +21,9 @@ BYTE_CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BYTE_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_CHUNK = re.compile(rf"[^{SPACE}]+")
 WORD_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]")
-#: Chunks remembered by a worker; beyond it the memory starts anew. It bounds memory, not what is encoded.
-MEMORY = 500_000
+#: Bytes of the chunks that a worker remembers, 160 for each besides its own; beyond it the memory starts anew. It bounds memory,
+#: not what is encoded.
+MEMORY = 96 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,6 +55,7 @@ class Codec:
         self.table = MergeTable(path)
         self.words = bool(self.table.end)
         self.memory: dict[str, bytes] = {}
+        self.held = 0
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.table.special, key=len, reverse=True))) + ")")
         self.special = {k: v.to_bytes(4, "little") for k, v in self.table.special.items()}
         self.library = None
@@ -65,9 +67,12 @@ class Codec:
         for chunks in chunked:
             new.update(chunks)
         memory = self.memory
-        if len(memory) > MEMORY:
+        if self.held > MEMORY:
             memory.clear()
-        self._learn([c for c in new if c not in memory])
+            self.held = 0
+        fresh = [c for c in new if c not in memory]
+        self._learn(fresh)
+        self.held += 160 * len(fresh) + sum(map(len, fresh)) + sum(map(len, map(memory.__getitem__, fresh)))
         return [b"".join(map(memory.__getitem__, chunks)) for chunks in chunked]
 
     def _chunks(self, text: str) -> list[str]:
