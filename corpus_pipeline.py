@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import packing, pii, quality, simhash, toxicity
-from lodestone.llm.common import saved
+from lodestone.llm.common import column_at, numbered, saved
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier of operator 5 rejects go; the others stay as they are."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, carry=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    d = numbered(docs)  # extra columns may be called score or predicted, too
+    scored = toxicity.score(d, model, carry=tuple(d.columns), text_col=f"_{column_at(docs, 'text')}")
+    return scored.where("predicted = 0").select(*d.columns).toDF(*docs.columns)
 
 
 def bad_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,8 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data that operator 3 finds is replaced by its kind; ``n_chars`` follows the text."""
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+    d = numbered(pii.redacted(docs))
+    return d.withColumn(f"_{column_at(docs, 'n_chars')}", F.length(f"_{column_at(docs, 'text')}").cast("long")).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
