@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -38,10 +39,11 @@ def test_one_tree_and_many_trees_agree():
 
 
 def test_memory_starts_anew(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMORY", 5)
+    monkeypatch.setattr(bpe, "MEMORY", 1000)
     c = bpe.Codec(bpe.tokenizer_path("byte_bpe_50k.json"))
     first = c.encode(["one two three four five six seven"])
-    assert c.encode(["one two three four five six seven"]) == first
+    assert c.encode(["one two three four five six seven"]) == first and c.held > 1000
+    assert len(c.encode(["x" * 5000])[0]) > 0 and set(c.memory) == {"x" * 5000}
 
 
 def test_round_trip_of_odd_rows(spark):
@@ -92,6 +94,28 @@ def test_best_fit_decreasing_is_best_fit():
         assert max(used.values()) <= 40
 
 
+def test_plan_of_counts_is_that_of_the_list():
+    for seed in range(60):
+        rng = random.Random(seed)
+        lengths = [rng.choice([1, 2, 3, 7, 19, 20, 21, 40]) for _ in range(rng.randint(0, 200))]
+        rows = packing.plan(Counter(lengths), 40)
+        windows = packing.best_fit_decreasing(lengths, 40)
+        assert len({w for w, _ in windows}) == (brute_best_fit(lengths, 40)[0] if lengths else 0)
+        assert len(rows) <= 4 * len(set(lengths)) + 8
+
+
+def test_windows_do_not_depend_on_partitions_and_padding_is_small(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    seen = []
+    for n in (1, 16, 200):
+        rows = packing.pack(docs.repartition(n)).collect()
+        seen.append(sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset) for r in rows))
+        windows = 1 + max(r.sequence_id for r in rows)
+        assert len({r.sequence_id for r in rows}) == windows
+        assert sum(r.length for r in rows) > 0.99 * 4096 * (windows - 1), n
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_packing_of_odd_rows(spark):
     docs, t = odd_docs(spark), library("word_bpe_49k.json")
     rows = packing.pack(docs, window=64, with_ids=True).collect()

@@ -46,7 +46,24 @@ def test_stages(spark):
 
 
 def test_run_gives_what_the_stages_give(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_clashing_columns_and_an_empty_table_pass_the_stages(spark):
+    first = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = first.selectExpr("*", "'mine' AS predicted", "0.5 AS score", "'clash' AS `TEXT`", "1 AS `_0`", "'b' AS block")
+    want = {name: stage for name, stage in corpus_pipeline.STAGES}
+    plain, odd, none = first, extra, extra.limit(0)
+    for name in list(want)[:-1]:
+        plain, odd, none = (want[name](spark, d, SF) for d in (plain, odd, none))
+        assert odd.columns == none.columns == extra.columns
+    kept = odd.toDF(*first.columns, "x1", "x2", "x3", "x4", "x5")
+    assert sorted(map(tuple, kept.select("doc_id", "text", "n_chars").collect())) == sorted(map(tuple, plain.select("doc_id", "text", "n_chars").collect()))
+    assert kept.select("x1", "x3").distinct().collect() == [("mine", "clash")] and none.count() == 0
+    assert want["packing"](spark, none, SF).count() == 0 and want["packing"](spark, odd, SF).count() == want["packing"](spark, plain, SF).count()
 
 
 def test_nulls_pass_the_stages(spark, tmp_path):

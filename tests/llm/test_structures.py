@@ -123,6 +123,8 @@ def test_jump_hash_matches_the_published_loop(spark):
     for n in (1, 2, 40, 41):
         got = {r.k: r.s for r in df.select("k", shard.jump_hash(df.k, n).alias("s")).collect()}
         assert all(got[k] == brute_jump(k, n) for k in keys)
+        last = {r.k: r.s for r in df.select("k", shard.jumps(df.k, n).alias("s")).collect()}
+        assert all((n if last[k].j == n else last[k].b) == brute_jump(k, n + 1) for k in keys)
 
 
 def test_shards_of_odd_rows(spark):
@@ -228,3 +230,93 @@ def test_equal_vectors_tie_to_the_smaller_id(spark):
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
     got = sorted((r["rank"], r.vec_id) for r in ann.nearest(e, e.where("vec_id = 5000")).collect())
     assert got == [(k + 1, k) for k in range(10)]
+
+
+def test_attributes_are_parsed_and_forms_unwrapped():
+    wrappers = ["<div class='content has-sidebar'>", "<div class='single with-comments'>", "<div class='layout no-sidebar'>", "<div class='social-science'>", "<form action='/x'>", "<div data-hidden='false'>", "<div data-role='header-less'>", "<div title='the hidden valley'>", '<div class=a">', "<div class='a'b>", "<div a='>'>", "<div a=b=c'>", "<div =x>"]
+    for w in wrappers:
+        end = w[1:].split()[0]
+        assert html.extract(f"<body><div class='menu'><a href='/x'>x</a></div>{w}{ARTICLE}</{end}><form><p>Sign up</p><input></form></body>") == WANT, w
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for part in ("<b>", "<div>", "<p><b>", "<ul><li>", "<dl><dd>"):
+        times = []
+        for n in (5_000, 50_000):
+            began = time.perf_counter()
+            assert html.extract(part * n + "deep") == "deep"
+            times.append(time.perf_counter() - began)
+        assert times[1] < 40 * times[0] + 0.5, (part, times)
+
+
+def brute_measure(x, share):
+    """Characters, tags, link characters, link tags, density and sum of a node, by recursion from the definition."""
+    kids = [k for k in x.kids if not isinstance(k, str) and not k.cut]
+    below = [brute_measure(k, share) for k in kids]
+    c = sum(len(k.strip()) for k in x.kids if isinstance(k, str)) + sum(b[0] for b in below)
+    t = sum(b[1] + 1 for b in below)
+    lc = c if x.name == "a" else sum(b[2] for b in below)
+    lt = sum(b[3] + (k.name == "a") for b, k in zip(below, kids))
+    density = 0.0
+    if c:
+        density = c / max(1, t) * max(0.0, math.log(c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(c / max(1, c - lc) * lc + share * c + math.e)
+    total = sum(b[4] for b in below) if below else density
+    assert (x.chars, x.tags, x.link_chars, x.link_tags) == (c, t, lc, lt) and math.isclose(x.density, density, abs_tol=1e-12) and math.isclose(x.total, total, abs_tol=1e-9)
+    return c, t, lc, lt, density
+
+
+def test_densities_and_sums_match_the_definition():
+    rng = random.Random(12)
+
+    def tree(depth):
+        name = rng.choice(["div", "p", "a", "b", "section", "ul", "span"])
+        inner = "".join(rng.choice(["some words ", "x", tree(depth - 1) if depth else "end"]) for _ in range(rng.randint(0, 4)))
+        return f"<{name}>{inner}</{name}>"
+
+    for _ in range(200):
+        root = html.parse("<body>" + "".join(tree(4) for _ in range(4)) + "</body>")
+        body = html.measure(root)
+        brute_measure(body, body.link_chars / max(1, body.chars))
+
+
+def test_string_ids_are_sharded_by_their_text(spark):
+    docs = spark.createDataFrame([("a-1", "x"), ("b", "y"), (None, "z"), ("a-1", "x")], "doc_id string, text string")
+    rows = shard.assign(docs, shards=5).collect()
+    assert len(rows) == 4 and len({r.shard for r in rows if r.doc_id == "a-1"}) == 1
+    assert all(r.grown_shard in (r.shard, 5) for r in rows) and {r.shard for r in rows if r.doc_id is None} == {brute_jump(-1, 5)}
+
+
+def test_hot_fingerprints_and_stars(spark):
+    texts = [(i, "") for i in range(3000)] + [(5000 + i, PROSE * 2) for i in range(2500)] + [(9000 + i, f"w{i} w{i * 7} w{i * 11} other") for i in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    fps = {t: brute_fingerprint(t) for _, t in texts}
+    names = sorted(fps)
+    own = brute_components([fps[t] for t in names])
+    least = {}
+    for i, t in texts:
+        least[own[names.index(t)]] = min(least.get(own[names.index(t)], i), i)
+    assert got == {i: least[own[names.index(t)]] for i, t in texts}
+    edges = spark.createDataFrame([(i, 5000) for i in range(4000)] + [(7000, 7001)], "u long, v long")
+    roots = {r.v: r.root for r in simhash.components(edges).collect()}
+    assert roots == {**dict.fromkeys([*range(4000), 5000], 0), 7000: 7000, 7001: 7000}
+
+
+def test_recall_at_production_settings_over_several_blocks(spark):
+    few = np.stack(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()["embedding"].to_numpy())
+    rng = np.random.default_rng(2)
+    x = np.concatenate([few + rng.normal(scale=0.3 * few.std() * (k > 0), size=few.shape) for k in range(6)]).astype(np.float32).astype(np.float64)
+    ids = np.arange(len(x))
+    assert len(ids) > 2 * 4096
+    e = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in ann.nearest(e, e.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in got:
+        d = ((x - x[ids == q][0]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hits += len(got[q] & set(ids[np.argsort(d)[:10]].tolist()))
+    assert len(got) == (ids % 100 == 0).sum() and hits >= 0.95 * 10 * len(got)

@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm import pii, quality, toxicity
-from lodestone.llm.lm import SuffixAutomaton, own_phrases, relative_entropy, score, symbols
+from lodestone.llm.lm import LADDER, own_phrases, relative_entropy, score, symbols
 from tests.llm.cases import PROSE, empty_docs, odd_docs
 
 EMAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
@@ -79,6 +80,18 @@ def test_order_changes_time_not_the_verdict():
     assert quality.verdict(quality.Features(varied), orders[0]) is None
 
 
+def test_a_rejected_text_needs_no_more_features():
+    f = quality.Features("a b c " * 5)
+    assert quality.verdict(f, [0, 1, 2, 3, 4, 5]) == "few_words" and "n_repeat_words" not in f.__dict__ and "n_upper" not in f.__dict__
+
+
+def test_sample_is_of_all_rows(spark):
+    docs = spark.range(20000).selectExpr("id AS doc_id", "CAST(id AS string) AS text").coalesce(1)
+    got = [int(t) for t in quality.sample_texts(docs, 256)]
+    assert 150 < len(got) < 400 and min(got) < 2000 and max(got) > 18000
+    assert quality.sample_texts(docs.limit(0)) == [] and len(quality.sample_texts(docs.limit(5))) == 5
+
+
 def test_quality_of_odd_rows(spark):
     docs = odd_docs(spark)
     rows = quality.assess(docs).collect()
@@ -116,6 +129,61 @@ def test_classifier_on_held_out_rows(spark):
     assert toxicity.score(empty_docs(spark), model).count() == 0
 
 
+def brute_grams(text):
+    t = f" {text.lower()} "
+    t = "".join(" " if c <= " " else c for c in t)
+    return {t[i : i + n] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+
+
+def test_features_are_the_n_grams_of_one_text():
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("ab Cé\n😀", k=rng.randint(0, 40))) for _ in range(300)] + ["", "x", "abcd"]
+    number = {}
+    for t in texts:
+        mine = set(toxicity.features_of([t])[1].tolist())
+        assert len(mine) == len(brute_grams(t))  # of so few n-grams no two have one hash
+        number[t] = mine
+    for order in (texts, texts[::-1]):
+        text, feature = toxicity.features_of(order)
+        for i, t in enumerate(order):
+            assert set(feature[text == i].tolist()) == number[t]
+    long = "".join(rng.choices("abcdef gh", k=3000))
+    cut = [f for places, held in toxicity.pieces_of([long], 100) for f in held]
+    assert set().union(*({p[i : i + n] for n in toxicity.ORDERS for i in range(len(p) - n + 1)} for p in cut)) == brute_grams(long)
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    rows = labelled(spark)
+    texts = [r[1] for r in rows]
+    scorer = toxicity.fit_texts(texts, np.array([r[2] for r in rows])).scorer()
+    together = scorer(texts)
+    assert (together == scorer(texts[::-1])[::-1]).all()
+    assert all(together[i] == scorer([texts[i]])[0] for i in range(0, len(texts), 7))
+
+
+def test_weights_are_scaled_by_log_count_ratios():
+    texts, y = ["good words here", "good words too", "good dogs here"] * 3 + ["vile words here", "vile dogs", "vile words"] * 3, np.array([0] * 9 + [1] * 9)
+    model = toxicity.fit_texts(texts, y, steps=1)
+    counts = [Counter(f for t, k in zip(texts, y) if k == label for f in toxicity.features_of([t])[1].tolist()) for label in (0, 1)]
+    for h, w in zip(model.hashes.tolist(), model.weights):
+        ratio = np.log((counts[1][h] + 1) / 11) - np.log((counts[0][h] + 1) / 11)
+        assert counts[0][h] + counts[1][h] >= 3 and 0.01 * abs(ratio) < abs(w) < 0.05 * abs(ratio) and (w > 0) == (ratio > 0) or abs(w) <= 0.03 * abs(ratio)
+
+
+def test_a_repeated_id_reaches_the_driver_once(spark):
+    docs = spark.createDataFrame([(1, "a vile text"), (1, "a vile text, longer")] * 50 + [(i, "some good words") for i in range(2, 9)] + [(1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1)] * 3 + [(i, 1, 0) for i in range(2, 9)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = toxicity.fit_texts
+    toxicity.fit_texts = lambda texts, y, **o: seen.append((texts, y.tolist())) or real(texts, y, **o)
+    try:
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.fit_texts = real
+    (texts, y), = seen
+    assert texts.count("a vile text, longer") <= 1 and len(texts) == len(y) <= 8
+
+
 def test_classifier_without_labels(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -125,28 +193,33 @@ def test_classifier_without_labels(spark):
 
 
 def brute_phrases(words, reference):
-    text = [*reference]
+    """Greedy parse; a factor is known if all its windows of the longest length of the ladder in it are in a reference text."""
+    known = {tuple(text[i : i + n]) for text in reference for n in LADDER for i in range(len(text) - n + 1)}
 
-    def occurs(p):
-        return any(text[i : i + len(p)] == p for i in range(len(text) - len(p) + 1))
+    def accepted(p):
+        n = max(m for m in LADDER if m <= len(p))
+        return all(tuple(p[i : i + n]) in known for i in range(len(p) - n + 1))
 
     i = count = 0
     while i < len(words):
         n = 1
-        while i + n < len(words) and occurs(words[i : i + n + 1]):
+        while i + n < len(words) and accepted(words[i : i + n + 1]):
             n += 1
         i += n
         count += 1
     return count
 
 
-def test_cross_parse_is_greedy_and_longest():
-    for seed in range(200):
-        rng = random.Random(seed)
-        reference, words = rng.choices("abc", k=25), rng.choices("abcd", k=20)
-        a = SuffixAutomaton()
-        a.extend(reference)
-        assert a.phrases(words) == brute_phrases(words, reference)
+def exact_phrases(words, reference):
+    texts = [" " + " ".join(t) + " " for t in reference]
+    i = count = 0
+    while i < len(words):
+        n = 1
+        while i + n < len(words) and any(" " + " ".join(words[i : i + n + 1]) + " " in t for t in texts):
+            n += 1
+        i += n
+        count += 1
+    return count
 
 
 def brute_own(words):
@@ -168,27 +241,41 @@ def test_own_parse():
     assert relative_entropy(0, 0, 0) is None
 
 
-def test_scores_against_the_other_half(spark):
+def lm_rows():
     rng = random.Random(6)
-    vocabulary = [f"w{k}" for k in range(40)]
-    rows = [(i, " ".join(rng.choices(vocabulary, k=30))) for i in range(60)] + [(60, "xq xq zz xq yy " * 12)]
+    vocabulary = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 40)))) for i in range(60)]
+    rows += [(60 + k, rows[k][1]) for k in range(0, 8)] + [(70, rows[2][1] + " xq xq zz " + rows[4][1]), (71, "xq xq zz xq yy " * 12)]
+    return rows
+
+
+def test_scores_against_all_good_text_but_the_own(spark):
+    rows = lm_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    good = docs.where("doc_id % 2 = 0 AND doc_id < 60").select("doc_id")
-    halves = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'half'), 2) AS h").collect()}
-    got = {r.doc_id: r for r in score(docs, good).collect()}
-    assert len(got) == 61
+    good = {i for i, _ in rows if i % 2 == 0 and i < 66}
+    labels = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    got = {r.doc_id: r for r in score(docs, labels).collect()}
+    assert len(got) == len(rows)
+    exact = mine = 0
     for i, text in rows:
-        reference = []
-        for j, other in rows:
-            if j % 2 == 0 and j < 60 and halves[j] != halves[i]:
-                reference += [*symbols(other), ""]
-        words = symbols(text)
+        words, reference = symbols(text), [symbols(t) for j, t in rows if j in good and j != i]
         c, o = brute_phrases(words, reference), brute_own(words)
-        assert (got[i].n_symbols, got[i].n_phrases, got[i].n_own_phrases) == (len(words), c, o)
-        assert abs(got[i].score - relative_entropy(len(words), c, o)) < 1e-12
-    assert got[60].score > max(r.score for k, r in got.items() if k < 60)
-    many = {r.doc_id: r for r in score(docs, good, block=2000).collect()}
-    assert set(many) == set(got)
+        assert (got[i].n_symbols, got[i].n_phrases, got[i].n_own_phrases) == (len(words), c, o), i
+        assert not words or abs(got[i].score - relative_entropy(len(words), c, o)) < 1e-12
+        exact, mine = exact + exact_phrases(words, reference), mine + c
+    assert mine <= exact <= 1.02 * mine
+    assert got[71].score > max(r.score or -9 for k, r in got.items() if k < 60)
+    # many batches and shards, other rows, another order and other partitions change nothing
+    other = spark.createDataFrame([(1000 + i, f"z{i} z{i + 1} z{i % 7}") for i in range(50)], docs.schema)
+    for d, options in ((docs, {"batch": 50, "shard": 40}), (docs.union(other).repartition(3), {}), (docs.orderBy(F.desc("doc_id")).coalesce(1), {"batch": 300})):
+        again = {r.doc_id: r for r in score(d, labels, **options).collect()}
+        assert all(again[i] == got[i] for i in got)
+
+
+def test_a_repeated_row_is_the_others_reference(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j")] * 2 + [(2, "k l m")], "doc_id long, text string")
+    got = score(docs, docs.select("doc_id").distinct()).collect()
+    assert sorted((r.doc_id, r.n_phrases) for r in got) == [(1, 1), (1, 1), (2, 3)]
 
 
 def test_lm_scores_of_odd_rows(spark):
