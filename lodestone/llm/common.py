@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -51,9 +52,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def freed(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, once their result is saved."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, once their result is saved.
+
+    Spark deletes them when the driver collects its garbage. The plan's last events still hold it for a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def dropped(df: DataFrame) -> None:
