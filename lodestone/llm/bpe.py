@@ -21,8 +21,8 @@ BYTE_CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BYTE_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_CHUNK = re.compile(rf"[^{SPACE}]+")
 WORD_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]")
-#: Bytes of the chunks that a worker remembers, 160 for each besides its own; beyond it the memory starts anew. It bounds memory,
-#: not what is encoded.
+#: Bytes of the chunks that a worker remembers, 160 for each besides its own; beyond it what is older goes. It bounds memory, not
+#: what is encoded.
 MEMORY = 96 << 20
 
 
@@ -55,6 +55,7 @@ class Codec:
         self.table = MergeTable(path)
         self.words = bool(self.table.end)
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.table.special, key=len, reverse=True))) + ")")
         self.special = {k: v.to_bytes(4, "little") for k, v in self.table.special.items()}
@@ -66,12 +67,12 @@ class Codec:
         new = set()
         for chunks in chunked:
             new.update(chunks)
-        memory = self.memory
-        if self.held > MEMORY:
-            memory.clear()
-            self.held = 0
+        if self.held > MEMORY:  # what was met since the last time stays, and of what is older what is met again
+            self.older, self.memory, self.held = self.memory, {}, 0
+        memory, older = self.memory, self.older
         fresh = [c for c in new if c not in memory]
-        self._learn(fresh)
+        memory.update([(c, older[c]) for c in fresh if c in older])
+        self._learn([c for c in fresh if c not in older])
         self.held += 160 * len(fresh) + sum(map(len, fresh)) + sum(map(len, map(memory.__getitem__, fresh)))
         return [b"".join(map(memory.__getitem__, chunks)) for chunks in chunked]
 
@@ -94,27 +95,34 @@ class Codec:
         return text.lower().split(" ")
 
     def _learn(self, chunks: list[str]) -> None:
-        memory = self.memory
-        plain = []
+        memory, words = self.memory, self.words
+        plain, letters, ended = [], [], []
         for c in chunks:
-            if c in self.special:
+            word = c if words else c.removeprefix(" ")
+            if words and c and not latin(c):
+                memory[c] = self.special[c] if c in self.special else self._by_library(c)
+            elif word.isalpha():  # one piece
+                letters.append(c)
+            elif word[:-1].isalpha():  # letters and another sign are two
+                ended.append(c)
+            elif c in self.special:
                 memory[c] = self.special[c]
             elif not c:
                 memory[c] = b""
-            elif self.words and not latin(c):
-                memory[c] = self._by_library(c)
             else:
                 plain.append(c)
-        index: dict[str, int] = {}
-        if self.words:
+        memory.update(zip(letters, self.table.encode([(c.lower() if words else c).encode() for c in letters])))
+        if words:
             # one search over all chunks; the line feed, which no chunk holds, ends each
             found = iter(WORD_PIECE.findall("\n".join(plain).lower() + "\n")) if plain else iter(())
-            places = [[index.setdefault(p, len(index)) for p in iter(found.__next__, "\n")] for _ in plain]
+            parts = [(c, list(iter(found.__next__, "\n"))) for c in plain]
+            parts += [(c, [c[:-1].lower(), c[-1].lower()]) for c in ended]
         else:
-            places = [[index.setdefault(p, len(index)) for p in BYTE_PIECE.findall(c)] for c in plain]
-        ids = self.table.encode([p.encode() for p in index])
-        for c, at in zip(plain, places):
-            memory[c] = ids[at[0]] if len(at) == 1 else b"".join([ids[k] for k in at])
+            parts = [(c, BYTE_PIECE.findall(c)) for c in plain] + [(c, [c[:-1], c[-1]]) for c in ended]
+        fresh = list({p for _, pieces in parts for p in pieces if p not in memory})
+        known = dict(zip(fresh, self.table.encode([p.encode() for p in fresh])))
+        for c, pieces in parts:
+            memory[c] = b"".join([known[p] if p in known else memory[p] for p in pieces])
 
     def _by_library(self, chunk: str) -> bytes:
         if self.library is None:
