@@ -43,7 +43,8 @@ def test_memory_starts_anew(monkeypatch):
     c = bpe.Codec(bpe.tokenizer_path("byte_bpe_50k.json"))
     first = c.encode(["one two three four five six seven"])
     assert c.encode(["one two three four five six seven"]) == first and c.held > 1000
-    assert len(c.encode(["x" * 5000])[0]) > 0 and set(c.memory) == {"x" * 5000}
+    assert len(c.encode(["x" * 5000 + " six"])[0]) > 0 and set(c.memory) == {"x" * 5000, " six"}
+    assert len(c.older) == 7 and c.encode(["y"]) and " six" in c.older and len(c.older) == 2
 
 
 def test_round_trip_of_odd_rows(spark):

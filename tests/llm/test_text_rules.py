@@ -141,7 +141,7 @@ def test_features_are_the_n_grams_of_one_text():
     number = {}
     for t in texts:
         mine = set(toxicity.features_of([t])[1].tolist())
-        assert len(mine) == len(brute_grams(t))  # of so few n-grams no two have one hash
+        assert len(brute_grams(t)) - 2 <= len(mine) <= len(brute_grams(t))  # two n-grams may have one hash
         number[t] = mine
     for order in (texts, texts[::-1]):
         text, feature = toxicity.features_of(order)
