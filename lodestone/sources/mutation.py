@@ -11,15 +11,19 @@ from lodestone.plans.query import Context, Query, Term, sure
 from lodestone.plans.schema import NUMERIC, Index
 
 
-def latest(rows: DataFrame, id: str, seq: str) -> DataFrame:
-    """The row with the highest ``seq`` for each id: an aggregation with partial maxima, so a hot id does not gather."""
-    best = rows.groupBy(id).agg(F.max_by(F.struct(*rows.columns), seq).alias("r"))
+def latest(rows: DataFrame, id: str, seq: str | None = None) -> DataFrame:
+    """The row with the highest ``seq`` for each id: an aggregation with partial maxima, so a hot id does not gather.
+
+    Equal ones are told apart by a hash of all columns, so the same rows give the same row whenever the task runs.
+    """
+    hashed = F.xxhash64(*[F.col(f"`{n}`") for n, t in rows.dtypes if "map<" not in t])
+    best = rows.groupBy(id).agg(F.max_by(F.struct(*rows.columns), F.struct(*[seq] * bool(seq), hashed)).alias("r"))
     return best.select("r.*")
 
 
 def upsert(base: DataFrame, new: DataFrame, id: str, seq: str | None = None) -> DataFrame:
     """``base`` with the rows of ``new`` in place of those with the same id; with ``seq`` the newest of each id counts."""
-    fresh = latest(new, id, seq) if seq else new.dropDuplicates([id])
+    fresh = latest(new, id, seq)
     return base.join(fresh, id, "left_anti").unionByName(fresh.select(*base.columns))
 
 

@@ -29,6 +29,33 @@ def test_upserts_take_the_newest(spark):
     assert rows(mutation.upsert(base, base.limit(0), "id")) == rows(base)
 
 
+def test_ties_of_upserts_do_not_depend_on_order(spark):
+    new = spark.createDataFrame([(1, float(k), f"k{k}", 7) for k in range(20)], "id long, v double, k string, seq long")
+    for seq in ("seq", None):
+        got = {tuple(rows(mutation.latest(d, "id", seq))) for d in (new, new.orderBy(F.desc("v")).coalesce(1), new.repartition(5, "v"))}
+        assert len(got) == 1 and len(next(iter(got))) == 1
+
+
+def test_another_session_opens_the_index(spark, catalog):
+    catalog.create_index("x", FIELDS | {"place": Field("object", children={"p": Field("lat_lon")})}, "id", sort=["k"])
+    catalog.commit("x", spark.range(3).selectExpr("id", "1.0D AS v", "'a' AS k", "0L AS seq"))
+    other = Catalog(spark, catalog.root)
+    assert other.schemas == catalog.schemas and other.sorts == catalog.sorts and other.open("x").df.count() == 3
+
+
+def test_a_writer_that_dies_or_comes_late_changes_nothing(spark, catalog):
+    catalog.create_index("x", FIELDS, "id")
+    one = spark.range(1).selectExpr("id", "1.0D AS v", "'a' AS k", "0L AS seq")
+    catalog.commit("x", one)
+    meta = catalog._meta("x")
+    fs, p = catalog._fs(f"{catalog.root}/x/pointers/2.json")
+    fs.create(p, False).close()  # died between creating and writing
+    assert catalog.open("x").df.count() == 1 and catalog.commit("x", one.union(one)) == 2 and catalog.open("x").df.count() == 2
+    with pytest.raises(RuntimeError):
+        catalog._put("x", meta | {"version": 9})
+    assert catalog._meta("x")["version"] == 2
+
+
 def test_partial_updates(spark):
     df = spark.createDataFrame([(1, 1.0, "a", 0), (2, 2.0, "b", 0)], "id long, v double, k string, seq long")
     ix = Index(df, FIELDS, "id")
