@@ -128,11 +128,45 @@ def terms(df: DataFrame, x: Context, c: Terms, within: tuple[str, ...] = ()) ->
     return best.withColumn("_shown", F.sum("count").over(shown)).join(totals, list(within)).withColumn("total_other_counts", F.col("_all") - F.col("_shown")).drop("_all", "_shown")
 
 
-def nested_terms(df: DataFrame, x: Context, outer: Terms, inner: Terms) -> DataFrame:
-    """Two levels: the inner buckets of the outer level's best buckets, with both keys and counts."""
-    top = terms(df, x, outer).select(F.col("key").alias("outer_key"), F.col("count").alias("outer_count"))
-    rows = bucketed(df, x, outer, "outer_key").join(top, "outer_key")  # at most ``size`` buckets on this side
-    return terms(rows, x, inner, ("outer_key", "outer_count"))
+def level(n: int) -> tuple[str, str]:
+    """Names of the key and the count of the ``n``-th level from outside, as inner levels carry them."""
+    return ("outer_key", "outer_count") if n == 1 else (f"outer{n}_key", f"outer{n}_count")
+
+
+def below(rows: DataFrame, x: Context, name: str, c: Terms, by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """A terms collector and all that is nested in it, to any depth; ``by`` holds keys and counts of the levels outside.
+
+    The best buckets of each level are joined to the rows before the next: at most the product of the sizes.
+    """
+    out = {name: terms(rows, x, c, by)}
+    best = out[name].select(*by, "key", "count")
+    for n, inner in c.nested.items():
+        at = f"{name}>{n}"
+        if isinstance(inner, Metric):
+            continue
+        if isinstance(inner, (Terms, Filter)):
+            key, count = level(len(by) // 2 + 1)
+            named = best.withColumnsRenamed({"key": key, "count": count})
+            inside = bucketed(rows, x, c, key).join(named, [*by, key])
+            if isinstance(inner, Terms):
+                out |= below(inside, x, at, inner, (*by, key, count))
+                continue
+            inside = filtered(inside, x, inner)
+            metrics = {k: m for k, m in inner.nested.items() if isinstance(m, Metric)}
+            counted = inside.groupBy(*by, key).agg(F.count("*").alias("count"), *[m.column(x).alias(k) for k, m in metrics.items()])
+            out[at] = counted.withColumnRenamed(key, "key")
+            for k, deeper in inner.nested.items():
+                if isinstance(deeper, Terms):
+                    out |= below(inside, x, f"{at}>{k}", deeper, (*by, key, count))
+                elif isinstance(deeper, TopHits):
+                    out[f"{at}>{k}"] = top_hits(inside, x, deeper, (*by, key)).withColumnRenamed(key, "key")
+                elif k not in metrics:
+                    raise ValueError(f"{type(deeper).__name__} cannot be nested in a filter of buckets")
+        elif isinstance(inner, TopHits):
+            out[at] = top_hits(bucketed(rows, x, c).join(best.select(*by, "key"), [*by, "key"]), x, inner, (*by, "key"))
+        else:
+            raise ValueError(f"{type(inner).__name__} cannot be nested in buckets")
+    return out
 
 
 def top_hits(df: DataFrame, x: Context, c: TopHits, by: tuple[str, ...] = ()) -> DataFrame:
@@ -164,16 +198,7 @@ def collect(df: DataFrame, x: Context, collectors: dict[str, object]) -> dict[st
     out: dict[str, DataFrame] = {}
     for name, c in collectors.items():
         if isinstance(c, Terms):
-            out[name] = terms(df, x, c)
-            for n, inner in c.nested.items():
-                if isinstance(inner, Terms):
-                    out[f"{name}>{n}"] = nested_terms(df, x, c, inner)
-                elif isinstance(inner, TopHits):
-                    keys = out[name].select("key")
-                    out[f"{name}>{n}"] = top_hits(bucketed(df, x, c).join(keys, "key"), x, inner, ("key",))
-                elif isinstance(inner, Filter):
-                    rows = filtered(bucketed(df, x, c).join(out[name].select("key"), "key"), x, inner)
-                    out[f"{name}>{n}"] = rows.groupBy("key").agg(F.count("*").alias("count"), *[m.column(x).alias(k) for k, m in inner.nested.items() if isinstance(m, Metric)])
+            out |= below(df, x, name, c)
         elif isinstance(c, Filter):
             rows = filtered(df, x, c)
             metrics = {n: m for n, m in c.nested.items() if isinstance(m, Metric)}

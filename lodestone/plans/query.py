@@ -461,6 +461,8 @@ class Exists(Query):
         return c.isNotNull() & (F.size(c) > 0) if f.multi else c.isNotNull()
 
 
+#: Most clauses of a query over terms that are found in the dictionary.
+CLAUSES = 1024
 REWRITES = ("constant_score", "constant_score_boolean", "scoring_boolean", "top_terms_blended_freqs", "top_terms_boost", "top_terms")
 
 
@@ -470,7 +472,9 @@ def rewritten(x: Context, name: str, test: Callable[[Column], Column], rewrite:
         raise ValueError(f"unknown rewrite: {rewrite}")
     if rewrite.startswith("constant"):
         return constant(F.exists(x.tokens(name), lambda t: sure(test(t))))
-    terms = x.expand(name, test, 1024 if rewrite == "scoring_boolean" else top)
+    terms = x.expand(name, test, CLAUSES + 1 if rewrite == "scoring_boolean" else top)
+    if rewrite == "scoring_boolean" and len(terms) > CLAUSES:
+        raise ValueError(f"more than {CLAUSES} terms of {name} would be clauses; use another rewrite")
     if not terms:
         return MatchNone().build(x)
     if rewrite == "top_terms_boost":

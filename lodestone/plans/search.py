@@ -12,7 +12,7 @@ from lodestone.operators import collectors as col_ops
 from lodestone.operators import facets as facet_ops
 from lodestone.operators import fusion, highlight
 from lodestone.operators.sort import SortField, after, order, sort_value
-from lodestone.plans.query import Context, ExactVector, MatchAll, Query, scored_script
+from lodestone.plans.query import Context, ExactVector, MatchAll, Query, scored_script, sure
 from lodestone.plans.schema import Field, Index
 from lodestone.registry import lookup
 
@@ -226,21 +226,29 @@ def search(index: Index, req: Request) -> Response:
 
         query = parse(req.query_text, index.text_fields)
     x = Context(index)
-    if query is None and req.knn:
-        found = None
+    near = None
+    for k in req.knn:  # k rows each
+        hits = knn_hits(index, k).withColumnRenamed("score", "_near")
+        near = hits if near is None else near.unionByName(hits)
+    if near is not None:
+        near = F.broadcast(near.groupBy(index.id).agg(F.sum("_near").alias("_near")))
+    if query is None and near is not None:
+        found = index.df.join(near, index.id).withColumnRenamed("_near", "_score")
     else:
-        df, c = x.prepared(query or MatchAll())
+        df, c = x.prepared(query or MatchAll(), whole=near is not None)
+        match, score = sure(c.match), c.score
         if req.terminate_after:
-            df = df.where(c.match).orderBy(index.id).limit(req.terminate_after)
-        found = df.where(c.match).withColumn("_score", c.score)
-    for k in req.knn:  # scores add where both find a document
-        near = knn_hits(index, k).withColumnRenamed("score", "_near")
-        if found is None:
-            found = index.df.join(F.broadcast(near), index.id).withColumnRenamed("_near", "_score")  # k rows
-        else:
-            other = found.select(index.id, F.col("_score").alias("_text")).join(F.broadcast(near), index.id, "full_outer")
-            total = other.select(index.id, (F.coalesce("_text", F.lit(0.0)) + F.coalesce("_near", F.lit(0.0))).alias("_score"))
-            found = x.with_tokens([]).join(total, index.id)
+            first = df.where(match).orderBy(index.id).limit(req.terminate_after)
+            if near is not None:  # what is near counts beyond the limit, too
+                df = df.join(F.broadcast(first.select(index.id, F.lit(True).alias("_first"))), index.id, "left")
+                match = match & F.col("_first").isNotNull()
+            else:
+                df = first
+        if near is None:
+            found = df.where(match).withColumn("_score", score)
+        else:  # scores add where both find a document: one scan, no shuffle of the index
+            total = F.when(match, score).otherwise(0.0) + F.coalesce("_near", F.lit(0.0))
+            found = df.join(near, index.id, "left").where(match | F.col("_near").isNotNull()).withColumn("_score", total).drop("_near", "_first")
     cols = col_ops.collect(found, x, req.collectors)
     fcts = {n: facet_ops.facet(found, x, f) for n, f in req.facets.items()}
     hits = found
@@ -272,7 +280,7 @@ def search(index: Index, req: Request) -> Response:
 
 
 def within(df: DataFrame, seconds: float) -> list:
-    """Rows of ``df``, or ``TimeoutError`` when they take longer: the jobs are cancelled, and there are no partial results."""
+    """Rows of ``df``, a page with its own limit, or ``TimeoutError`` when they take longer: the jobs are cancelled, and there are no partial results."""
     import threading
     import uuid
 

@@ -427,6 +427,8 @@ simple("terms_asc", lambda s, d: plain(collected(parts(s, d), {"t": Terms("p_bra
 for _mode in ("max", "min", "sum"):
     simple(f"terms_order_by_{_mode}", lambda s, d, m=_mode: plain(collected(parts(s, d), {"t": Terms("p_brand", 5, order_by="m", nested={"m": Metric(m, "p_retailprice * p_size")})}, "t")).withColumn("m", F.round("m", 3)), f"SELECT * REPLACE (round(m, 3) AS m) FROM ({terms_sql('part', 'p_brand', 5, 'm DESC', f', {_mode}(p_retailprice * p_size) AS m')})")
 simple("terms_nested_two_levels", lambda s, d: collected(lines(s, d), {"t": Terms("l_linenumber", 3, nested={"f": Terms("l_returnflag", 2, nested={"q": Metric("sum", "l_quantity")})})}, "t>f").select("outer_key", "outer_count", "key", "count", "q"), "WITH o AS (SELECT l_linenumber AS outer_key, count(*) AS outer_count FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3), i AS (SELECT outer_key, outer_count, l_returnflag AS key, count(*) AS count, sum(l_quantity) AS q FROM lineitem JOIN o ON l_linenumber = outer_key GROUP BY 1, 2, 3) SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY outer_key ORDER BY count DESC, key) <= 2")
+simple("terms_nested_three_levels", lambda s, d: collected(lines(s, d), {"t": Terms("l_linenumber", 3, nested={"f": Terms("l_returnflag", 2, nested={"m": Terms("l_linestatus", 1, nested={"q": Metric("sum", "l_quantity")})})})}, "t>f>m").select("outer_key", "outer_count", "outer2_key", "outer2_count", "key", "count", "q"), "WITH o AS (SELECT l_linenumber AS outer_key, count(*) AS outer_count FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3), i AS (SELECT outer_key, outer_count, l_returnflag AS outer2_key, count(*) AS outer2_count FROM lineitem JOIN o ON l_linenumber = outer_key GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY outer_key ORDER BY count(*) DESC, l_returnflag) <= 2), j AS (SELECT outer_key, outer_count, outer2_key, outer2_count, l_linestatus AS key, count(*) AS count, sum(l_quantity) AS q FROM lineitem JOIN i ON l_linenumber = outer_key AND l_returnflag = outer2_key GROUP BY 1, 2, 3, 4, 5) SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY outer_key, outer2_key ORDER BY count DESC, key) <= 1")
+simple("terms_nested_top_hits_two_levels", lambda s, d: collected(lines(s, d), {"t": Terms("l_linenumber", 3, nested={"f": Terms("l_returnflag", 2, nested={"h": TopHits(2, 0, (SortField("l_extendedprice", reverse=True), SortField("l_partkey")), ("l_extendedprice",))})})}, "t>f>h").select("outer_key", "key", "hit", "l_extendedprice"), "WITH o AS (SELECT l_linenumber AS outer_key FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3), i AS (SELECT outer_key, l_returnflag AS key FROM lineitem JOIN o ON l_linenumber = outer_key GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY outer_key ORDER BY count(*) DESC, l_returnflag) <= 2) SELECT outer_key, key, row_number() OVER (PARTITION BY outer_key, key ORDER BY l_extendedprice DESC, l_partkey)::INT AS hit, l_extendedprice FROM lineitem JOIN i ON l_linenumber = outer_key AND l_returnflag = key QUALIFY hit <= 2")
 simple("terms_other_counts", lambda s, d: plain(collected(events(s, d), {"t": Terms("event_type", 2)}, "t")), terms_sql("events", "event_type", 2))
 simple("filter_collector_query", lambda s, d: collected(events(s, d), {"f": Filter(Term("event_type", "error"), nested={"high": Metric("max", "value"), "low": Metric("min", "value")})}, "f"), "SELECT count(*) AS count, max(value) AS high, min(value) AS low FROM events WHERE event_type = 'error'")
 simple("filter_collector_set", lambda s, d: plain(collected(events(s, d), {"f": Filter(name="event_type", values=("click", "view"), nested={"u": Terms("user_id", 5)})}, "f>u")), terms_sql("(SELECT * FROM events WHERE event_type IN ('click', 'view'))", "user_id", 5))
@@ -589,12 +591,19 @@ simple("update_doc_values", _updated, "SELECT o_orderkey, round(CASE WHEN o_orde
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder for this run: below the cluster's shared folder, else a temporary one."""
+    """A folder for this run below the cluster's shared folder, deleted when the driver ends. Only a local session may go without."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def _streamed(spark: SparkSession, sf: str) -> DataFrame:

@@ -432,3 +432,42 @@ def test_fuzzy_terms_are_the_closest(spark, tmp_path):
     assert found(ix, SpanFuzzy("text", "idoit", Fuzzy(2, max_expansions=None))) == last
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r.doc_id for r in QUERIES["match_fuzzy"](spark, str(tmp_path)).collect()) == last
+
+
+def test_nested_collectors_of_any_depth_or_an_error(spark):
+    from lodestone.operators.collectors import Filter, Metric, Plugin, Terms, TopHits
+
+    rows = [(i, "abc"[i % 3], "xy"[i // 3 % 2], "pq"[i // 6 % 2], float(i)) for i in range(60)]
+    ix = Index(spark.createDataFrame(rows, "id long, a string, b string, c string, v double"), {"id": Field("long"), "a": Field("atom"), "b": Field("atom"), "c": Field("atom"), "v": Field("double")}, "id")
+    deep = Terms("a", 2, nested={"b": Terms("b", 2, nested={"c": Terms("c", 1, nested={"m": Metric("max", "v"), "h": TopHits(1)}), "f": Filter(Range("v", 30, None), nested={"n": Terms("c", 2)})})})
+    got = search(ix, Request(query=MatchAll(), collectors={"t": deep})).collectors
+    assert set(got) == {"t", "t>b", "t>b>c", "t>b>c>h", "t>b>f", "t>b>f>n"}
+    mine = {(r.outer_key, r.outer2_key, r.key): (r["count"], r.m) for r in got["t>b>c"].collect()}
+    for (a, b, c), (n, m) in mine.items():
+        inside = [r for r in rows if r[1:4] == (a, b, c)]
+        assert (len(inside), max(r[4] for r in inside)) == (n, m)
+    assert {k[0] for k in mine} == {"a", "b"} and len(mine) == 4
+    assert sum(r["count"] for r in got["t>b>f>n"].collect()) == sum(r["count"] for r in got["t>b>f"].collect()) == sum(r[4] >= 30 and r[1] in "ab" for r in rows)
+    with pytest.raises(ValueError):
+        search(ix, Request(query=MatchAll(), collectors={"t": Terms("a", nested={"p": Plugin("x")})}))
+
+
+def test_hybrid_search_does_not_shuffle_the_index(spark):
+    from lodestone.plans.search import Knn
+
+    rows = [(i, [float(i), 1.0], "ab"[i % 2]) for i in range(50)]
+    ix = Index(spark.createDataFrame(rows, "id long, v array<float>, k string"), {"id": Field("long"), "v": Field("vector", dimensions=2, vector_similarity="l2_norm"), "k": Field("atom")}, "id")
+    answer = search(ix, Request(query=Term("k", "a"), knn=(Knn("v", [3.0, 1.0], 3, 10),)))
+    found = {r.id: r._score for r in answer.matched.collect()}
+    assert set(found) == {i for i in range(50) if i % 2 == 0} | {2, 3, 4} or len(found) == 27
+    plan = answer.matched._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "FullOuter" not in plan
+
+
+def test_too_many_clauses_are_an_error(spark):
+    from lodestone.plans.query import Prefix
+
+    ix = Index(spark.createDataFrame([(i, f"w{i}") for i in range(1100)], "id long, t string"), {"id": Field("long"), "t": Field("atom")}, "id")
+    assert search(ix, Request(query=Prefix("t", "w1", "scoring_boolean"))).matched.count() > 100
+    with pytest.raises(ValueError):
+        search(ix, Request(query=Prefix("t", "w", "scoring_boolean"))).matched.count()
