@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,6 +87,57 @@ def rings_contain(polygon: Column, lat: float, lon: float) -> Column:
     return odd(polygon[0]) & ~F.exists(F.slice(polygon, 2, F.greatest(F.size(polygon) - 1, F.lit(0))), odd)
 
 
+def _any_edge(polygon: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """Whether an edge of a ring, from one corner [lon, lat] to the next, passes."""
+
+    def of(ring: Column) -> Column:
+        return F.exists(F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1))), lambda i: F.coalesce(test(F.get(ring, i - 1), F.get(ring, i)), F.lit(False)))
+
+    return F.exists(polygon, of)
+
+
+def _crosses(a: Column, b: Column, c: tuple[float, float], d: tuple[float, float]) -> Column:
+    """Whether the segment between two corners [lon, lat] meets that between two places (lat, lon), ends included."""
+    (y3, x3), (y4, x4) = c, d
+    x1, y1, x2, y2 = a[0], a[1], b[0], b[1]
+
+    def side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
+        return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+
+    x3, y3, x4, y4 = (F.lit(float(v)) for v in (x3, y3, x4, y4))
+    apart = (side(x1, y1, x2, y2, x3, y3) * side(x1, y1, x2, y2, x4, y4) > 0) | (side(x3, y3, x4, y4, x1, y1) * side(x3, y3, x4, y4, x2, y2) > 0)
+    boxes = (F.greatest(x1, x2) >= F.least(x3, x4)) & (F.greatest(x3, x4) >= F.least(x1, x2)) & (F.greatest(y1, y2) >= F.least(y3, y4)) & (F.greatest(y3, y4) >= F.least(y1, y2))
+    return boxes & ~apart
+
+
+def polygon_meets(polygon: Column, inside: Callable[[Column, Column], Column], rings_: list[list[tuple[float, float]]]) -> Column:
+    """Whether a polygon column meets a shape with edges: a corner of one lies in the other, or two edges cross.
+
+    ``inside`` tells whether a place (lat, lon) lies in the shape; ``rings_`` are its rings of (lat, lon), the outer first.
+    """
+    corner = F.exists(polygon, lambda ring: F.exists(ring, lambda c: inside(c[1], c[0])))
+    edges = [e for r in rings_ for e in _edges(r)]
+    crossed = _any_edge(polygon, lambda a, b: reduce(lambda x, y: x | y, [_crosses(a, b, *e) for e in edges]))
+    return corner | rings_contain(polygon, *map(float, rings_[0][0])) | crossed
+
+
+def polygon_near(polygon: Column, lat: float, lon: float, radius: float) -> Column:
+    """Whether a polygon column comes within ``radius`` metres of a place: it holds the place, a corner is as near, or an edge is,
+    measured on the plane that touches the earth there."""
+    k = math.radians(1) * EARTH
+    east = k * math.cos(math.radians(lat))
+    corner = F.exists(polygon, lambda ring: F.exists(ring, lambda c: haversine(c[1], c[0], lat, lon) <= radius))
+
+    def near(a: Column, b: Column) -> Column:
+        x1, y1, x2, y2 = (a[0] - lon) * east, (a[1] - lat) * k, (b[0] - lon) * east, (b[1] - lat) * k
+        dx, dy = x2 - x1, y2 - y1
+        length = dx * dx + dy * dy
+        t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x1 * dx + y1 * dy) / length))).otherwise(0.0)
+        return F.pow(x1 + t * dx, F.lit(2)) + F.pow(y1 + t * dy, F.lit(2)) <= radius * radius
+
+    return corner | rings_contain(polygon, float(lat), float(lon)) | _any_edge(polygon, near)
+
+
 def check_polygon(geojson: str) -> str:
     """The text itself if it is one GeoJSON polygon."""
     if json.loads(geojson).get("type") != "Polygon":

@@ -887,14 +887,18 @@ class GeoBox(Query):
 
     def build(self, x: Context) -> Compiled:
         (top, left), (bottom, right) = self.top_left, self.bottom_right
+        if x.index.field(self.field_name).type == "polygon":  # a box over the date line is two
+            parts = [(left, right)] if left <= right else [(left, 180.0), (-180.0, right)]
+            polygon, out = geo.rings(x.column(self.field_name)), F.lit(False)
+            for west, east in parts:
+                ring = [(top, west), (top, east), (bottom, east), (bottom, west)]
+                out = out | geo.polygon_meets(polygon, lambda lat, lon, w=west, e=east: geo.in_box(lat, lon, top, w, bottom, e), [ring])
+            return constant(sure(out))
         return _geo(x, self.field_name, lambda p: geo.in_box(p["lat"], p["lon"], top, left, bottom, right))
 
 
 def _geo(x: Context, name: str, test: Callable[[Column], Column]) -> Compiled:
     f = x.index.field(name)
-    if f.type == "polygon":  # a corner inside is taken for an intersection
-        ring = geo.rings(x.column(name))[0]
-        return constant(F.exists(ring, lambda c: test({"lon": c[0], "lat": c[1]})))
     if f.type != "lat_lon":
         raise ValueError(f"{name} is no place")
     return constant(any_value(x.column(name), f, test))
@@ -908,6 +912,8 @@ class GeoRadius(Query):
 
     def build(self, x: Context) -> Compiled:
         r = geo.metres(self.radius)
+        if x.index.field(self.field_name).type == "polygon":
+            return constant(sure(geo.polygon_near(geo.rings(x.column(self.field_name)), *self.centre, r)))
         degrees = math.degrees(r / geo.EARTH) * 1.0001
 
         def near(p: Column) -> Column:  # the band of latitudes is cheap and prunes
@@ -924,6 +930,13 @@ class GeoPolygon(Query):
     polygons: tuple
 
     def build(self, x: Context) -> Compiled:
+        if x.index.field(self.field_name).type == "polygon":
+            polygon, out = geo.rings(x.column(self.field_name)), F.lit(False)
+            for shell, holes in self.polygons:
+                rings = [list(shell), *map(list, holes)]
+                out = out | geo.polygon_meets(polygon, lambda lat, lon, r=rings: geo.in_polygon(lat, lon, r[0], r[1:]), rings)
+            return constant(sure(out))
+
         def inside(p: Column) -> Column:
             out = F.lit(False)
             for shell, holes in self.polygons:

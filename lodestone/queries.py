@@ -298,6 +298,10 @@ def ring_sql(ring: tuple) -> str:
 
 
 simple("geo_polygon_hole", lambda s, d: matched(customers(s, d), GeoPolygon("place", ((_SHELL, (_HOLE,)),))), f"SELECT c_custkey FROM ({PLACE}) WHERE {ring_sql(_SHELL)} AND NOT {ring_sql(_HOLE)}")
+_NATION = "(SELECT n_nationkey, n_nationkey * 7 - 80 AS y, n_nationkey * 14 - 170 AS x FROM nation)"
+simple("geo_box_polygon", lambda s, d: matched(nations(s, d), GeoBox("shape", (4.0, -60.0), (2.0, -4.0))), f"SELECT n_nationkey FROM {_NATION} WHERE y - 5 <= 4 AND y + 5 >= 2 AND x - 5 <= -4 AND x + 5 >= -60")
+simple("geo_radius_polygon", lambda s, d: matched(nations(s, d), GeoRadius("shape", (1.0, -7.5), "900 km")), f"SELECT n_nationkey FROM {_NATION} WHERE pow(greatest(abs(x + 7.5) - 5, 0) * cos(radians(1.0)), 2) + pow(greatest(abs(y - 1.0) - 5, 0), 2) <= pow(degrees(900000.0 / 6371008.7714), 2)")
+simple("geo_polygon_polygon", lambda s, d: matched(nations(s, d), GeoPolygon("shape", ((((30.5, -40.5), (30.5, 60.5), (-20.5, 60.5), (-20.5, -40.5)), (((20.0, 0.0), (20.0, 40.0), (-1.0, 40.0), (-1.0, 0.0)),)),))), f"SELECT n_nationkey FROM {_NATION} WHERE y - 5 <= 30.5 AND y + 5 >= -20.5 AND x - 5 <= 60.5 AND x + 5 >= -40.5 AND NOT (y - 5 > -1 AND y + 5 < 20 AND x - 5 > 0 AND x + 5 < 40)")
 simple("geo_point_in_doc_polygon", lambda s, d: matched(nations(s, d), GeoPoint("shape", (3.0, -5.5))), "SELECT n_nationkey FROM nation WHERE abs(3.0 - (n_nationkey * 7 - 80)) < 5 AND abs(-5.5 - (n_nationkey * 14 - 170)) < 5 AND NOT (abs(3.0 - (n_nationkey * 7 - 80)) < 1 AND abs(-5.5 - (n_nationkey * 14 - 170)) < 1)")
 
 # nested documents and other indexes

@@ -471,3 +471,28 @@ def test_too_many_clauses_are_an_error(spark):
     assert search(ix, Request(query=Prefix("t", "w1", "scoring_boolean"))).matched.count() > 100
     with pytest.raises(ValueError):
         search(ix, Request(query=Prefix("t", "w", "scoring_boolean"))).matched.count()
+
+
+def test_polygon_fields_meet_shapes_by_corners_and_edges(spark):
+    from lodestone.plans.query import GeoBox, GeoRadius
+
+    def ring(points):
+        return [[float(x), float(y)] for y, x in [*points, points[0]]]
+
+    shapes = {1: [ring([(0, 0), (0, 10), (10, 10), (10, 0)])], 2: [ring([(4, -20), (4, 30), (6, 30), (6, -20)])], 3: [ring([(0, 0), (0, 10), (10, 10), (10, 0)]), ring([(2, 2), (2, 8), (8, 8), (8, 2)])], 4: [ring([(50, 50), (50, 60), (60, 55)])], 5: None}
+    import json
+
+    df = spark.createDataFrame([(i, r and json.dumps({"type": "Polygon", "coordinates": r})) for i, r in shapes.items()], "id long, shape string")
+    ix = Index(df, {"id": Field("long"), "shape": Field("polygon")}, "id")
+
+    def found(q):
+        return sorted(r.id for r in search(ix, Request(query=q)).matched.collect())
+
+    assert found(GeoBox("shape", (6.5, 3.0), (3.5, 7.0))) == [1, 2]  # in 1, crossed by 2 without a corner, in the hole of 3
+    assert found(GeoBox("shape", (80.0, -80.0), (-80.0, 80.0))) == [1, 2, 3, 4]
+    assert found(GeoBox("shape", (6.0, 29.0), (4.0, -179.0))) == [2]
+    assert found(GeoRadius("shape", (5.0, 5.0), "50 km")) == [1, 2]
+    assert found(GeoRadius("shape", (5.0, 5.0), "400 km")) == [1, 2, 3]
+    triangle = ((4.9, 4.0), (5.1, 4.0), (5.0, 6.0))
+    assert found(GeoPolygon("shape", ((triangle, ()),))) == [1, 2]
+    assert found(GeoPolygon("shape", ((((-30, -30), (-30, 45), (45, 45), (45, -30)), (((-25, -25), (-25, 40), (40, 40), (40, -25)),)),))) == []
