@@ -23,7 +23,7 @@ WORD_CHUNK = re.compile(rf"[^{SPACE}]+")
 WORD_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]")
 #: Bytes of the chunks that a worker remembers, 160 for each besides its own; beyond it what is older goes. It bounds memory, not
 #: what is encoded.
-MEMORY = 72 << 20
+MEMORY = 96 << 20
 
 
 def tokenizer_path(name: str) -> str:
