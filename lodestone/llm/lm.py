@@ -6,20 +6,29 @@ closer the document is to the reference. The score is the Ziv-Merhav estimate of
 incremental parse.
 
 The reference is the text of every labelled good document but the document itself. One automaton over a reference that
-grows with the corpus fits no task, so its language, the factors of the reference, is cut up by hash: a factor of 2, 3, 4
-or 8 words is looked up as itself, and one between or beyond by all its windows of the longest such length. So
-matches of 2, 3, 4 and 8 words are exact; a match of 5 to 7, or of more than 8, is a chain of windows that overlap in
-all words but one. A single word is a phrase whether the reference holds it or not. The result depends on neither
-blocks nor partitions nor the size of the table, and cost is linear in it.
+grows with the corpus fits no task, so the factors of the reference are looked up by hash. A match's length is exact, however
+long it is:
+
+* Factors of 2, 3 and 4 words are looked up at every place whose pairs are known. A single word is a phrase whether the
+  reference holds it or not.
+* The end of the longest match never moves left from one place to the next, and it moves right only where the match's other
+  occurrence has another word before it. So longer factors are looked up only at starts: places whose factor of four words has
+  different words, or the start of a text, before it. The other places inherit the end of the place before.
+* A start's factors of 5, 6, 7, 8, 16, 32, ... words are looked up first, then eighths of each stretch of lengths along which
+  the number of starts that hold the factor falls. Where two starts agree they ask for the same lengths, so whatever one text
+  asks for the other offers.
+
+The result depends on neither blocks nor partitions nor the size of the table.
 
 Texts are cut into batches of words. Each batch sends its different factors, sorted and as differences of 56-bit hashes, to the
-shards that own their ranges, and gets back three bits for each. Pairs of words go first; a longer factor is sent only
-where all its pairs are known to another document.
+shards that own their ranges, and gets back four bits for each, and for starts the number of holders. Pairs of words go first;
+a longer factor is sent only where all its pairs, or all its factors of four words, are known to another document.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, saved, ship, small_batches, take
+from .common import dropped, freed, saved, ship, small_batches, take
 
-#: Lengths of the windows that are looked up; pairs go first.
-LADDER = (2, 3, 4, 8)
+#: Lengths of the factors that are looked up at every place; pairs go first.
+LADDER = (2, 3, 4)
+#: Into how many parts a stretch of lengths is cut.
+PARTS = 8
 BITS = 56
 IN_REFERENCE, MANY_GOOD, MANY = 1, 2, 4
 
@@ -72,6 +83,61 @@ def integers(planed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planed, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def factors_at(one: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of the factor of so many words at each of the places ``at`` of the words' hashes ``one``, by windows of powers of two."""
+    h, place, window, k = length.astype(np.uint64), at.astype(np.int64), one, 0
+    top = int(length.max(initial=0)).bit_length()
+    for k in range(top):
+        use = np.flatnonzero(length >> k & 1)
+        h[use] = mixed(h[use], window[place[use]])
+        place[use] += 1 << k
+        if k + 1 < top:
+            window = mixed(window, np.roll(window, -(1 << k)))  # what comes round from the start lies beyond any factor
+    return h >> np.uint64(64 - BITS)
+
+
+def different(h: np.ndarray, text: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different factors, sorted, the place of each among them, and a good text of each or -1."""
+    found, which = np.unique(h, return_inverse=True)
+    owner = np.full(len(found), -1, np.int32)
+    owner[which[good]] = text[good]
+    return found, which, owner
+
+
+def flags_of(found: np.ndarray, which: np.ndarray, owner: np.ndarray, text: np.ndarray, good: np.ndarray) -> np.ndarray:
+    flags = (owner >= 0) * np.uint8(IN_REFERENCE)
+    one = np.zeros(len(found), np.int32)
+    one[which] = text
+    flags[which[text != one[which]]] |= MANY
+    flags[which[good & (text != owner[which])]] |= MANY_GOOD
+    return flags
+
+
+def same_or_zero(which: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The one value of each of ``n`` groups; zero if there are several or one is zero."""
+    first = np.zeros(n, value.dtype)
+    first[which] = value
+    several = np.bincount(which, (value != first[which]) | (value == 0), n) > 0
+    return np.where(several, value.dtype.type(0), first)
+
+
+def pickled(x: object) -> bytes:
+    """Compressed: between steps these bytes are copied by the JVM several times."""
+    plain = pickle.dumps(x)
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, "zstd", asbytes=True)
+
+
+def unpickled(x: bytes) -> object:
+    return pickle.loads(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True))
+
+
 class Numbers(dict):
     """Numbers keys in the order of their first look-up."""
 
@@ -88,47 +154,147 @@ class Batch:
         self.text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self.left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(words))  # words from here to the end of the text
         self.good = good[self.text]
-        self._one = hashes[words]
-        self._grown, self._n = self._one, 1
+        self.one = hashes[words]
+        self._grown, self._n = self.one, 1
 
     def factors(self, n: int) -> np.ndarray:
         """Hash of the factor of ``n`` words at each place; called with growing ``n``. Meaningless where ``left < n``."""
         h = self._grown
         while self._n < n:
             # the factor's other words are at later places; what comes round from the start lies beyond ``left``
-            h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ np.roll(self._one, -self._n)
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
+            h = mixed(h, np.roll(self.one, -self._n))
             self._n += 1
         self._grown = h
         return h >> np.uint64(64 - BITS)
 
     def different(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different factors at the places ``at``, sorted, the place of each among them, and a good text of each or -1."""
-        found, which = np.unique(self.factors(n)[at], return_inverse=True)
-        owner = np.full(len(found), -1, np.int32)
-        good = np.flatnonzero(self.good[at])
-        owner[which[good]] = self.text[at[good]]
-        return found, which, owner
-
-    def request(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Different factors at the places ``at``, sorted, and the flags of each."""
+        return different(self.factors(n)[at], self.text[at], self.good[at])
+
+    def request(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different factors at the places ``at``, sorted, the flags of each, and for the longest of the ladder the word before or 0."""
         found, which, owner = self.different(n, at)
-        flags = (owner >= 0) * np.uint8(IN_REFERENCE)
-        text, good = self.text[at], self.good[at]
-        one = np.zeros(len(found), np.int32)
-        one[which] = text
-        flags[which[text != one[which]]] |= MANY
-        flags[which[good & (text != owner[which])]] |= MANY_GOOD
-        return found, flags
+        flags = flags_of(found, which, owner, self.text[at], self.good[at])
+        if n < LADDER[-1]:
+            return found, flags, np.zeros(0, np.uint32)
+        before = np.maximum(self.one[at - 1] >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+        before[self.left[at] == self.lengths[self.text[at]]] = 0  # a text's start is like no other
+        return found, flags, same_or_zero(which, before, len(found))
+
 
+class Starts:
+    """Starts of one batch, the words that their matches can reach, and what is still to be looked up.
 
-def answers(found: list[np.ndarray], flags: list[np.ndarray]) -> list[np.ndarray]:
+    ``one`` holds the hashes of these words; a start has its place there, its place in the batch (``origin``), its text, whether
+    that is good, how far a match can reach and the longest length known (``best``). A stretch has a start, a length that
+    some other text holds and a longer one (``low``, ``high``), the number of starts that hold either, whether either is known,
+    and for how many starts of the text it stands.
+    """
+
+    ARRAYS = "one place origin text good reach best start low high low_count high_count low_known high_known weight".split()
+
+    def __init__(self, first: bool, **arrays: np.ndarray):
+        self.first = first
+        for name in self.ARRAYS:
+            setattr(self, name, arrays[name])
+
+    @classmethod
+    def of(cls, b: Batch, known: np.ndarray, active: np.ndarray, several: np.ndarray) -> Starts:
+        """From the places whose longest factor of the ladder is known, is worth a look, and has several words before it."""
+        room = run_lengths(active) + LADDER[-1] - 1
+        at = np.flatnonzero(active & several & (room > LADDER[-1]))
+        reach = room[at].astype(np.int64)
+        edges = np.bincount(at, minlength=len(b.words) + 1) - np.bincount(at + reach, minlength=len(b.words) + 1)
+        kept = np.cumsum(edges)[:-1] > 0
+        n = len(at)
+        high = np.array([next(x for x in cls.grid() if x > r) for r in range(int(reach.max(initial=0)) + 1)], np.int64)[reach] if n else reach
+        return cls(True, one=b.one[kept], place=(np.cumsum(kept) - 1)[at], origin=at, text=b.text[at], good=b.good[at], reach=reach,
+            best=np.where(known[at], LADDER[-1], 1).astype(np.int64), start=np.arange(n), low=np.full(n, LADDER[-1]), high=high,
+            low_count=np.full(n, np.iinfo(np.int64).max), high_count=np.zeros(n, np.int64), low_known=known[at], high_known=np.zeros(n, bool), weight=np.ones(n, np.int64))
+
+    @staticmethod
+    def grid() -> Iterator[int]:
+        """Lengths of the first look-up: each up to 8, then powers of two."""
+        yield from range(LADDER[-1] + 1, PARTS)
+        n = PARTS
+        while True:
+            yield n
+            n *= 2
+
+    def asks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Stretches and lengths to be looked up, each stretch's in order; none beyond a start's reach."""
+        if not len(self.start):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.first:
+            grid, top = [], int(self.high.max())
+            for n in self.grid():
+                if n >= top:
+                    break
+                grid.append(n)
+            lengths = np.broadcast_to(np.array(grid, np.int64), (len(self.start), len(grid)))
+        else:
+            step = np.maximum((self.high - self.low) // PARTS, 1)
+            lengths = self.low[:, None] + step[:, None] * np.arange(1, PARTS)
+        which, k = np.nonzero((lengths < self.high[:, None]) & (lengths <= self.reach[self.start][:, None]))
+        return which, lengths[which, k]
+
+    def request(self) -> tuple[np.ndarray, ...]:
+        """The asked stretches and lengths; different factors, sorted, and the place of each, an owner, flags, the number of holders."""
+        stretch, length = self.asks()
+        start = self.start[stretch]
+        text, good = self.text[start], self.good[start]
+        found, which, owner = different(factors_at(self.one, self.place[start], length), text, good)
+        held = np.bincount(which, self.weight[stretch], len(found))
+        return stretch, length, found, which, owner, flags_of(found, which, owner, text, good), np.minimum(held, 0xFFFFFFFF).astype(np.uint32)
+
+    def narrowed(self, stretch: np.ndarray, length: np.ndarray, known: np.ndarray, count: np.ndarray) -> None:
+        """Take in the answers, and keep the parts of the stretches along which the number of holders falls."""
+        n = len(self.start)
+        ends = np.arange(n)
+        beyond = np.zeros(0, np.int64)
+        if not self.first:
+            # lengths beyond the reach were not asked for: the first of them ends the last part, as it would had it been asked for
+            step = np.maximum((self.high - self.low) // PARTS, 1)
+            last = self.low + step * np.bincount(stretch, minlength=n)
+            beyond = np.flatnonzero(last + step < self.high)
+        seq = np.concatenate([ends, stretch, beyond, ends])
+        at = np.concatenate([self.low, length, (last + step)[beyond] if len(beyond) else beyond, self.high])
+        counts = np.concatenate([self.low_count, count, np.zeros(len(beyond), np.int64), self.high_count])
+        knows = np.concatenate([self.low_known, known, np.zeros(len(beyond), bool), self.high_known])
+        np.maximum.at(self.best, self.start[stretch[known]], length[known])
+        order = np.lexsort((at, seq))
+        seq, at, counts, knows = seq[order], at[order], counts[order], knows[order]
+        open_ = np.flatnonzero((seq[1:] == seq[:-1]) & (np.diff(at) > 1) & (counts[:-1] > counts[1:]))
+        weight, start = self.weight[seq[open_]], self.start[seq[open_]]
+        # stretches that tell their own text nothing are there for others: one stands for all equal ones of a text
+        serves = np.flatnonzero((knows[open_] == knows[open_ + 1]) & (counts[open_ + 1] > 0))
+        high = factors_at(self.one, self.place[start[serves]], at[open_ + 1][serves])
+        key = mixed(mixed(high, at[open_][serves].astype(np.uint64)), self.text[start[serves]].astype(np.uint64))
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        weight[serves[one]] = np.bincount(which, weight[serves], len(one)).astype(np.int64)
+        stays = np.ones(len(open_), bool)
+        stays[serves] = False
+        stays[serves[one]] = True
+        k = open_[stays]
+        self.first, self.start, self.weight = False, start[stays], weight[stays]
+        self.low, self.high, self.low_count, self.high_count, self.low_known, self.high_known = at[k], at[k + 1], counts[k], counts[k + 1], knows[k], knows[k + 1]
+
+    def dump(self) -> bytes:
+        vocabulary, numbers = np.unique(self.one, return_inverse=True)
+        rest = {n: getattr(self, n) for n in self.ARRAYS[1:]}
+        small = {n: (x.dtype.str, planes(np.ascontiguousarray(x))) for n, x in rest.items()}
+        return pickled((self.first, vocabulary.tobytes(), planes(numbers.astype(np.uint32)), small))
+
+    @classmethod
+    def load(cls, dumped: bytes) -> Starts:
+        first, vocabulary, numbers, small = unpickled(dumped)
+        return cls(first, one=np.frombuffer(vocabulary, np.uint64)[integers(numbers, np.uint32)], **{n: integers(x, kind).copy() for n, (kind, x) in small.items()})
+
+
+def answers(found: list[np.ndarray], flags: list[np.ndarray], before: list[np.ndarray] | None = None, held: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each batch's factors: bit 0, in the reference by another text wherever in the batch it is met; bit 1, by one text of
-    this batch alone; bit 2, some other text holds it, good or not."""
-    sizes = [len(x) for x in found]
-    _, at = np.unique(np.concatenate(found), return_inverse=True)
+    this batch alone; bit 2, some other text holds it, good or not; bit 3, several words are before it. And the sums of ``held``."""
+    cuts = np.cumsum([len(x) for x in found])[:-1]
+    distinct, at = np.unique(np.concatenate(found), return_inverse=True)
     flag = np.concatenate(flags)
     inside = flag & IN_REFERENCE > 0
     batches, good = np.bincount(at), np.bincount(at, inside)
@@ -137,16 +303,19 @@ def answers(found: list[np.ndarray], flags: list[np.ndarray]) -> list[np.ndarray
     alone = known & inside & (good[at] == 1) & ~many_good[at]
     other = (batches[at] > 1) | (flag & MANY > 0)
     code = (known & ~alone) * np.uint8(1) | alone * np.uint8(2) | other * np.uint8(4)
-    return np.split(code, np.cumsum(sizes)[:-1])
+    if before is not None:
+        code |= (same_or_zero(at, np.concatenate(before), len(distinct)) == 0)[at] * np.uint8(8)
+    sums = [] if held is None else np.split(np.minimum(np.bincount(at, np.concatenate(held)), 0xFFFFFFFF).astype(np.uint32)[at], cuts)
+    return np.split(code, cuts), sums
 
 
 def packed(code: np.ndarray) -> bytes:
-    return b"".join(np.packbits(code >> k & 1).tobytes() for k in range(3))
+    return b"".join(np.packbits(code >> k & 1).tobytes() for k in range(4))
 
 
 def unpacked(bits: bytes, n: int) -> np.ndarray:
-    rows = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(3, -1), axis=1)[:, :n]
-    return rows[0] | rows[1] << 1 | rows[2] << 2
+    rows = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(4, -1), axis=1)[:, :n]
+    return rows[0] | rows[1] << 1 | rows[2] << 2 | rows[3] << 3
 
 
 def run_lengths(ok: np.ndarray) -> np.ndarray:
@@ -161,14 +330,10 @@ def all_of(ok: np.ndarray, n: int) -> np.ndarray:
     return run_lengths(ok) >= n
 
 
-def longest(ok: dict[int, np.ndarray]) -> np.ndarray:
-    """Length of the phrase at each place, from the places where a factor of each length of the ladder is known."""
-    out = np.ones(len(ok[2]), np.int32)
-    for n, longer in zip(LADDER, (*LADDER[1:], None)):
-        at = np.flatnonzero(ok[n])
-        reach = n - 1 + run_lengths(ok[n])[at]
-        out[at] = np.minimum(reach, longer - 1) if longer else reach
-    return out
+def longest(length: np.ndarray) -> np.ndarray:
+    """Length of the phrase at each place: no match ends before one that begins further left."""
+    at = np.arange(len(length))
+    return np.maximum.accumulate(at + length) - at
 
 
 def phrases(length: np.ndarray, lengths: np.ndarray) -> list[int]:
@@ -246,77 +411,137 @@ def score(docs: DataFrame, good: DataFrame, batch: int = 1_000_000, shard: int =
     def loaded(row: dict) -> Batch:
         return Batch(integers(row["words"], np.uint32), np.frombuffer(row["hashes"], np.uint64), integers(row["lengths"], np.int64), np.frombuffer(row["good"], bool))
 
-    def requests(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for number, n, found, flags in rows:
+    def requests(rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for number, n, found, flags, more in rows:
             edges = _shards(found, shards)
             for s in np.flatnonzero(np.diff(edges)).tolist():
                 a, b = edges[s], edges[s + 1]
-                row = [n * shards + s], [number], [n], [s], [planes(np.diff(found[a:b], prepend=np.uint64(0)))], [flags[a:b].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["at", "batch", "n", "s", "found", "flags"])
+                row = [n * shards + s], [number], [n], [s], [planes(np.diff(found[a:b], prepend=np.uint64(0)))], [flags[a:b].tobytes()], [planes(more[a:b])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, asked_types)], asked_names)
 
-    asked = "at bigint, batch bigint, n int, s bigint, found binary, flags binary"
+    asked = "at bigint, batch bigint, n int, s bigint, found binary, flags binary, more binary"
+    asked_names, asked_types = [x.split()[0] for x in asked.split(", ")], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
     def answer(rows: pa.Table) -> pa.Table:
+        n = rows.column("n")[0].as_py()
         found = [np.cumsum(integers(x, np.uint64), dtype=np.uint64) for x in rows.column("found").to_pylist()]
-        codes = answers(found, [np.frombuffer(x, np.uint8) for x in rows.column("flags").to_pylist()])
-        return pa.table([rows.column("batch"), rows.column("n"), rows.column("s"), pa.array([packed(c) for c in codes], pa.binary())], ["batch", "n", "s", "bits"])
+        more = [integers(x, np.uint32) for x in rows.column("more").to_pylist()]
+        codes, sums = answers(found, [np.frombuffer(x, np.uint8) for x in rows.column("flags").to_pylist()], more if n == LADDER[-1] else None, None if n else more)
+        return pa.table([rows.column("batch"), rows.column("n"), rows.column("s"), pa.array([packed(c) for c in codes], pa.binary()), pa.array([planes(x) for x in sums] or [b""] * len(codes), pa.binary())], ["batch", "n", "s", "bits", "sums"])
 
     def answered(sent: DataFrame, name: str) -> DataFrame:
-        out = saved(sent.groupBy("at").applyInArrow(answer, "batch bigint, n int, s bigint, bits binary"), name)
+        out = saved(sent.groupBy("at").applyInArrow(answer, "batch bigint, n int, s bigint, bits binary, sums binary"), name)
         freed(spark)
         return out
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows in batches:
             for k in range(rows.num_rows):
-                row = rows.slice(k, 1).to_pylist()[0]
-                b = loaded(row)
-                yield from requests([(row["batch"], 2, *b.request(2, np.flatnonzero(b.left >= 2)))])
+                yield rows.slice(k, 1).to_pylist()[0]
 
-    def heard(b: Batch, n: int, at: np.ndarray, bits: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Places where the factor of ``n`` words is in the reference without this text, and those where some other text has it."""
-        found, which, owner = b.different(n, at)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each(batches):
+            b = loaded(row)
+            yield from requests([(row["batch"], 2, *b.request(2, np.flatnonzero(b.left >= 2)))])
+
+    def told(found: np.ndarray, which: np.ndarray, n: int, bits: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The answer of each place, and its sum if there is any."""
         edges = _shards(found, shards)
-        code = np.concatenate([np.zeros(0, np.uint8), *(unpacked(bits[n, s], edges[s + 1] - edges[s]) for s in np.flatnonzero(np.diff(edges)).tolist())])[which]
-        known, shared = np.zeros(len(b.words), bool), np.zeros(len(b.words), bool)
+        parts = [(s, edges[s + 1] - edges[s]) for s in np.flatnonzero(np.diff(edges)).tolist()]
+        code = np.concatenate([np.zeros(0, np.uint8), *(unpacked(bits[n, s][0], size) for s, size in parts)])
+        sums = np.concatenate([np.zeros(0, np.uint32), *(integers(bits[n, s][1], np.uint32) for s, _ in parts)])
+        return code[which], sums[which] if len(sums) else sums
+
+    def heard(b: Batch, n: int, at: np.ndarray, bits: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places where the factor of ``n`` words is in the reference without this text, those where some other text has it, and
+        those where several words are before it."""
+        found, which, owner = b.different(n, at)
+        code, _ = told(found, which, n, bits)
+        known, shared, several = (np.zeros(len(b.words), bool) for _ in range(3))
         known[at] = (code & 1 > 0) | (code & 2 > 0) & (owner[which] != b.text[at])
         shared[at] = code & 4 > 0
-        return known, shared
+        several[at] = code & 8 > 0
+        return known, shared, several
 
     def places(b: Batch, n: int, known: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """Where a factor of more than two words can be known, or be known to others by this text."""
         return np.flatnonzero((b.left >= n) & (all_of(known, n - 1) | b.good & all_of(shared, n - 1)))
 
     def by_place(rows: pa.Table) -> dict:
-        return {(n, s): bits for n, s, bits in zip(*(rows.column(c).to_pylist() for c in ("n", "s", "bits")))}
+        return {(n, s): (bits, sums) for n, s, bits, sums in zip(*(rows.column(c).to_pylist() for c in ("n", "s", "bits", "sums")))}
 
     def longer(words: pa.Table, bits: pa.Table) -> pa.Table:
         sent = []
         for row in words.to_pylist():
             b = loaded(row)
-            known, shared = heard(b, 2, np.flatnonzero(b.left >= 2), by_place(bits))
+            known, shared, _ = heard(b, 2, np.flatnonzero(b.left >= 2), by_place(bits))
             for n in LADDER[1:]:
                 sent.extend(requests([(row["batch"], n, *b.request(n, places(b, n, known, shared)))]))
-        return pa.Table.from_batches(sent) if sent else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())], ["at", "batch", "n", "s", "found", "flags"])
+        return pa.Table.from_batches(sent) if sent else pa.table([pa.array([], t) for t in asked_types], asked_names)
+
+    kept = f"batch bigint, ids array<{kind}>, stretches bigint, parse binary, starts binary"
 
-    def rated(words: pa.Table, bits: pa.Table) -> pa.Table:
-        got = by_place(bits)
-        out = []
+    def started(words: pa.Table, bits: pa.Table) -> pa.Table:
+        """What is left of a batch once short factors are answered: no text, and of the words those that starts reach."""
+        got, out = by_place(bits), []
         for k, row in enumerate(words.to_pylist()):
             b = loaded(row)
-            known, shared = heard(b, 2, np.flatnonzero(b.left >= 2), got)
-            ok = {2: known} | {n: heard(b, n, places(b, n, known, shared), got)[0] for n in LADDER[1:]}
-            cross, at, own = phrases(longest(ok), b.lengths), 0, []
-            each = b.words.tolist()
+            known, shared, _ = heard(b, 2, np.flatnonzero(b.left >= 2), got)
+            short = 1 + known.astype(np.uint8)
+            at = {n: places(b, n, known, shared) for n in LADDER[1:]}
+            for n in LADDER[1:]:
+                known, shared, several = heard(b, n, at[n], got)
+                short[known] = n
+            starts = Starts.of(b, known, known | b.good & shared, several)
+            numbers, own, end = b.words.tolist(), [], 0
             for n in b.lengths.tolist():
-                own.append(own_phrases(each[at : at + n]))
-                at += n
-            sizes = b.lengths.tolist()
-            scores = [relative_entropy(*x) for x in zip(sizes, cross, own)]
-            ids = words.column("ids").slice(k, 1).combine_chunks().flatten()
-            out.append(pa.table([ids, pa.array(sizes, pa.int64()), pa.array(cross, pa.int64()), pa.array(own, pa.int64()), pa.array(scores, pa.float64())], [id_col, "n_symbols", "n_phrases", "n_own_phrases", "score"]))
+                own.append(own_phrases(numbers[end : end + n]))
+                end += n
+            made = [len(starts.start)], [pickled((short, np.array(own, np.int64), b.lengths))], [starts.dump()]
+            out.append(pa.table([words.column("batch").slice(k, 1), words.column("ids").slice(k, 1), *(pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.binary(), pa.binary())))], [x.split()[0] for x in kept.split(", ")]))
         return pa.concat_tables(out)
 
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each(batches):
+            _, _, found, _, _, flags, held = Starts.load(row["starts"]).request()
+            yield from requests([(row["batch"], 0, found, flags, held)])
+
+    def narrowed(rows: pa.Table, bits: pa.Table) -> pa.Table:
+        got, counts, dumps = by_place(bits), [], []
+        for dumped in rows.column("starts").to_pylist():
+            starts = Starts.load(dumped)
+            if len(starts.start):
+                stretch, length, found, which, owner, _, _ = starts.request()
+                code, sums = told(found, which, 0, got)
+                start = starts.start[stretch]
+                known = (code & 1 > 0) | (code & 2 > 0) & (owner[which] != starts.text[start])
+                starts.narrowed(stretch, length, known, np.where(known | starts.good[start] & (code & 4 > 0), sums.astype(np.int64), 0))
+            counts.append(len(starts.start))
+            dumps.append(starts.dump())
+        return rows.set_column(2, "stretches", pa.array(counts, pa.int64())).set_column(4, "starts", pa.array(dumps, pa.binary()))
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for k in range(rows.num_rows):
+                row = rows.slice(k, 1)
+                (short, own, sizes), starts = (f(row.column(c)[0].as_py()) for c, f in ((3, unpickled), (4, Starts.load)))
+                length = short.astype(np.int64)
+                length[starts.origin] = np.maximum(length[starts.origin], starts.best)
+                cross = phrases(longest(length), sizes)
+                sizes, own = sizes.tolist(), own.tolist()
+                scores = [relative_entropy(*x) for x in zip(sizes, cross, own)]
+                yield pa.RecordBatch.from_arrays([row.column(1).flatten(), pa.array(sizes, pa.int64()), pa.array(cross, pa.int64()), pa.array(own, pa.int64()), pa.array(scores, pa.float64())], [id_col, "n_symbols", "n_phrases", "n_own_phrases", "score"])
+
     first = answered(table.mapInArrow(pairs, asked), "pairs")
     second = answered(table.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(longer, asked), "factors")
-    return table.groupBy("batch").cogroup(first.union(second).groupBy("batch")).applyInArrow(rated, f"{id_col} {kind}, n_symbols bigint, n_phrases bigint, n_own_phrases bigint, score double")
+    left = saved(table.groupBy("batch").cogroup(first.union(second).groupBy("batch")).applyInArrow(started, kept), "starts")
+    freed(spark)
+    for done in (table, first, second):
+        dropped(done)
+    while left.agg(F.sum("stretches")).first()[0]:
+        got = answered(left.where("stretches > 0").mapInArrow(asking, asked), "factors")
+        before, left = left, saved(left.groupBy("batch").cogroup(got.groupBy("batch")).applyInArrow(narrowed, kept), "starts")
+        freed(spark)
+        for done in (before, got):
+            dropped(done)
+    return left.mapInArrow(rated, f"{id_col} {kind}, n_symbols bigint, n_phrases bigint, n_own_phrases bigint, score double")

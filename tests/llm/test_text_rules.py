@@ -286,3 +286,35 @@ def test_lm_scores_of_odd_rows(spark):
     assert score(empty_docs(spark), docs.select("doc_id")).count() == 0
     bare = score(docs, docs.select("doc_id").limit(0)).collect()
     assert all(r.n_phrases == r.n_symbols for r in bare)
+
+
+def test_matches_of_every_length_are_exact(spark):
+    """Overlapping windows that are known one by one, in different texts or places, are not a match."""
+    rng = random.Random(9)
+    rows = []
+
+    def spliced(n, cut, part):  # all windows of ``part`` words but not the whole: two halves in different texts, ``part - 1`` words in both
+        words = [f"s{len(rows)}_{k}" for k in range(n)]
+        rows.append((len(rows), " ".join(words[: cut + part - 1]) + " x y"))
+        rows.append((len(rows), "z z " + " ".join(words[cut:])))
+        rows.append((1000 + len(rows), " ".join(words)))
+
+    for n in (5, 6, 7, 8, 9, 12, 15, 16, 17, 31, 40, 65, 130):
+        for part in (4, 8):
+            if n > part:
+                spliced(n, (n - part) // 2 + 1, part)
+    source = [f"c{k}" for k in range(400)]
+    for _ in range(60):  # citations of one text that begin and end anywhere, some in good texts
+        a = rng.randrange(390)
+        rows.append((rng.choice((0, 1000)) + len(rows), " ".join(source[a : a + rng.randint(3, 200)] + [f"t{len(rows)}"] + source[a // 2 : a // 2 + rng.randint(2, 40)])))
+    for k in (5, 40, 41, 300):  # periods, and the same in good and other texts
+        rows += [(len(rows), "p q r " * k), (1000 + len(rows), "q r p " * (k + 1) + "p p")]
+    for k in range(20):
+        rows.append((len(rows) + 1000 * (k % 2), " ".join(rng.choices("ab", k=60))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    good = spark.createDataFrame([(i,) for i, _ in rows if i < 1000], "doc_id long")
+    want = {i: exact_phrases(symbols(t), [symbols(u) for j, u in rows if j < 1000 and j != i]) for i, t in rows}
+    assert len(want) == len(rows)
+    for options in ({}, {"batch": 700, "shard": 900}):
+        got = {r.doc_id: r.n_phrases for r in score(docs, good, **options).collect()}
+        assert got == want
