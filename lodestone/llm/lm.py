@@ -14,9 +14,10 @@ long it is:
 * The end of the longest match never moves left from one place to the next, and it moves right only where the match's other
   occurrence has another word before it. So longer factors are looked up only at starts: places whose factor of four words has
   different words, or the start of a text, before it. The other places inherit the end of the place before.
-* A start's factors of 5, 6, 7, 8, 16, 32, ... words are looked up first, then eighths of each stretch of lengths along which
-  the number of starts that hold the factor falls. Where two starts agree they ask for the same lengths, so whatever one text
-  asks for the other offers.
+* A start's factors of 5, 6, 7, 8, 16, 32, ... words are looked up first, then eighths of the stretch of lengths in which its own
+  match ends. Good texts also look up the stretches along which the number of starts that wait for an answer falls: there
+  another start's match may end at them. Where two starts agree their stretches have the same ends, so whatever one text asks
+  for the good texts offer. Starts of other texts ask for nothing but their own matches.
 
 The result depends on neither blocks nor partitions nor the size of the table.
 
@@ -103,9 +104,39 @@ def factors_at(one: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarra
     return h >> np.uint64(64 - BITS)
 
 
+def ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes, sorted, and the place of each among them, by sorting one number: the hash's first bits and its place."""
+    n = len(h)
+    if n < 2:
+        return h.copy(), np.zeros(n, np.int64)
+    bits, low = (n - 1).bit_length(), h.min()
+    spare = max(0, 64 - int(h.max() - low).bit_length())
+    mask = np.uint64((1 << bits) - 1)
+    key = (h - low) << np.uint64(min(spare, 63))
+    key &= ~mask
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & mask).view(np.int64)
+    found = h[order]
+    wrong = np.flatnonzero(found[1:] < found[:-1])
+    if len(wrong):  # the first bits agree, the rest do not
+        key >>= np.uint64(bits)
+        ends = {(np.searchsorted(key, k), np.searchsorted(key, k, "right")) for k in key[wrong]}
+        for a, b in ends:
+            part = order[a:b]
+            order[a:b] = part[np.argsort(h[part])]
+        found = h[order]
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    which = np.empty(n, np.int64)
+    which[order] = np.cumsum(new) - 1
+    return found[new], which
+
+
 def different(h: np.ndarray, text: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different factors, sorted, the place of each among them, and a good text of each or -1."""
-    found, which = np.unique(h, return_inverse=True)
+    found, which = ranked(h)
     owner = np.full(len(found), -1, np.int32)
     owner[which[good]] = text[good]
     return found, which, owner
@@ -138,14 +169,6 @@ def unpickled(x: bytes) -> object:
     return pickle.loads(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True))
 
 
-class Numbers(dict):
-    """Numbers keys in the order of their first look-up."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 class Batch:
     """Words of several texts in a row: ``words`` numbers a vocabulary of hashes; ``good`` tells which texts are reference."""
 
@@ -186,11 +209,11 @@ class Starts:
 
     ``one`` holds the hashes of these words; a start has its place there, its place in the batch (``origin``), its text, whether
     that is good, how far a match can reach and the longest length known (``best``). A stretch has a start, a length that
-    some other text holds and a longer one (``low``, ``high``), the number of starts that hold either, whether either is known,
-    and for how many starts of the text it stands.
+    some other text holds and a longer one (``low``, ``high``), and whether the start's own match ends in it (``own``); if not, it
+    is there for others.
     """
 
-    ARRAYS = "one place origin text good reach best start low high low_count high_count low_known high_known weight".split()
+    ARRAYS = "one place origin text good reach best start low high own".split()
 
     def __init__(self, first: bool, **arrays: np.ndarray):
         self.first = first
@@ -206,77 +229,78 @@ class Starts:
         edges = np.bincount(at, minlength=len(b.words) + 1) - np.bincount(at + reach, minlength=len(b.words) + 1)
         kept = np.cumsum(edges)[:-1] > 0
         n = len(at)
-        high = np.array([next(x for x in cls.grid() if x > r) for r in range(int(reach.max(initial=0)) + 1)], np.int64)[reach] if n else reach
+        grid = cls.grid(int(reach.max(initial=0)))
         return cls(True, one=b.one[kept], place=(np.cumsum(kept) - 1)[at], origin=at, text=b.text[at], good=b.good[at], reach=reach,
-            best=np.where(known[at], LADDER[-1], 1).astype(np.int64), start=np.arange(n), low=np.full(n, LADDER[-1]), high=high,
-            low_count=np.full(n, np.iinfo(np.int64).max), high_count=np.zeros(n, np.int64), low_known=known[at], high_known=np.zeros(n, bool), weight=np.ones(n, np.int64))
+            best=np.where(known[at], LADDER[-1], 1).astype(np.int64), start=np.arange(n), low=np.full(n, LADDER[-1]),
+            high=grid[np.searchsorted(grid, reach, "right")], own=known[at])
 
     @staticmethod
-    def grid() -> Iterator[int]:
-        """Lengths of the first look-up: each up to 8, then powers of two."""
-        yield from range(LADDER[-1] + 1, PARTS)
-        n = PARTS
-        while True:
-            yield n
-            n *= 2
+    def grid(reach: int) -> np.ndarray:
+        """Lengths of the first look-up, to the first beyond the reach: each up to 8, then powers of two."""
+        out = [*range(LADDER[-1] + 1, PARTS + 1)]
+        while out[-1] <= reach:
+            out.append(2 * out[-1])
+        return np.array(out, np.int64)
 
     def asks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Stretches and lengths to be looked up, each stretch's in order; none beyond a start's reach."""
+        """Stretches and lengths to be looked up, each stretch's in order, after the first time with its ``low``; none beyond a start's reach."""
         if not len(self.start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if self.first:
-            grid, top = [], int(self.high.max())
-            for n in self.grid():
-                if n >= top:
-                    break
-                grid.append(n)
-            lengths = np.broadcast_to(np.array(grid, np.int64), (len(self.start), len(grid)))
+            lengths = self.grid(int(self.reach.max()))[None, :]
         else:
             step = np.maximum((self.high - self.low) // PARTS, 1)
-            lengths = self.low[:, None] + step[:, None] * np.arange(1, PARTS)
-        which, k = np.nonzero((lengths < self.high[:, None]) & (lengths <= self.reach[self.start][:, None]))
-        return which, lengths[which, k]
+            lengths = self.low[:, None] + step[:, None] * np.arange(PARTS)
+        which, k = np.nonzero(lengths < np.minimum(self.high, self.reach[self.start] + 1)[:, None])
+        return which, lengths[0, k] if self.first else lengths[which, k]
 
     def request(self) -> tuple[np.ndarray, ...]:
-        """The asked stretches and lengths; different factors, sorted, and the place of each, an owner, flags, the number of holders."""
+        """The asked stretches and lengths; different factors, sorted, and the place of each, an owner, flags, the number of holders
+        that wait for an answer (the first time, all)."""
         stretch, length = self.asks()
         start = self.start[stretch]
         text, good = self.text[start], self.good[start]
         found, which, owner = different(factors_at(self.one, self.place[start], length), text, good)
-        held = np.bincount(which, self.weight[stretch], len(found))
+        held = np.bincount(which, None if self.first else self.own[stretch], len(found))
         return stretch, length, found, which, owner, flags_of(found, which, owner, text, good), np.minimum(held, 0xFFFFFFFF).astype(np.uint32)
 
     def narrowed(self, stretch: np.ndarray, length: np.ndarray, known: np.ndarray, count: np.ndarray) -> None:
-        """Take in the answers, and keep the parts of the stretches along which the number of holders falls."""
+        """Take in the answers, and keep the part of each stretch in which the start's match ends, and of good texts those along which
+        the number of waiting holders falls."""
         n = len(self.start)
         ends = np.arange(n)
         beyond = np.zeros(0, np.int64)
-        if not self.first:
+        np.maximum.at(self.best, self.start[stretch[known]], length[known])
+        if self.first:
+            seq, at = np.concatenate([ends, stretch, ends]), np.concatenate([self.low, length, self.high])
+            counts = np.concatenate([np.full(n, np.iinfo(np.int64).max), count, np.zeros(n, np.int64)])
+            knows = np.concatenate([self.own, known, np.zeros(n, bool)])
+        else:
             # lengths beyond the reach were not asked for: the first of them ends the last part, as it would had it been asked for
             step = np.maximum((self.high - self.low) // PARTS, 1)
-            last = self.low + step * np.bincount(stretch, minlength=n)
+            last = self.low + step * (np.bincount(stretch, minlength=n) - 1)
             beyond = np.flatnonzero(last + step < self.high)
-        seq = np.concatenate([ends, stretch, beyond, ends])
-        at = np.concatenate([self.low, length, (last + step)[beyond] if len(beyond) else beyond, self.high])
-        counts = np.concatenate([self.low_count, count, np.zeros(len(beyond), np.int64), self.high_count])
-        knows = np.concatenate([self.low_known, known, np.zeros(len(beyond), bool), self.high_known])
-        np.maximum.at(self.best, self.start[stretch[known]], length[known])
-        order = np.lexsort((at, seq))
+            none = np.zeros(len(beyond) + n, np.int64)
+            seq, at = np.concatenate([stretch, beyond, ends]), np.concatenate([length, (last + step)[beyond], self.high])
+            counts, knows = np.concatenate([count, none]), np.concatenate([known & self.own[stretch], none > 0])
+        order = np.argsort(seq, kind="stable")  # each stretch's lengths are in order
         seq, at, counts, knows = seq[order], at[order], counts[order], knows[order]
-        open_ = np.flatnonzero((seq[1:] == seq[:-1]) & (np.diff(at) > 1) & (counts[:-1] > counts[1:]))
-        weight, start = self.weight[seq[open_]], self.start[seq[open_]]
-        # stretches that tell their own text nothing are there for others: one stands for all equal ones of a text
-        serves = np.flatnonzero((knows[open_] == knows[open_ + 1]) & (counts[open_ + 1] > 0))
+        inner = (seq[1:] == seq[:-1]) & (np.diff(at) > 1)
+        own = knows[:-1] & ~knows[1:]
+        open_ = np.flatnonzero(inner & (own | self.good[self.start[seq[:-1]]] & (counts[:-1] > counts[1:])))
+        start, own = self.start[seq[open_]], own[open_]
+        # of the stretches that are there for others one stands for all equal ones of a text
+        serves = np.flatnonzero(~own & (at[open_ + 1] <= self.reach[start]))
         high = factors_at(self.one, self.place[start[serves]], at[open_ + 1][serves])
-        key = mixed(mixed(high, at[open_][serves].astype(np.uint64)), self.text[start[serves]].astype(np.uint64))
-        _, one, which = np.unique(key, return_index=True, return_inverse=True)
-        weight[serves[one]] = np.bincount(which, weight[serves], len(one)).astype(np.int64)
+        key = mixed(mixed(high, at[open_][serves].astype(np.uint64)), self.text[start[serves]].astype(np.uint64)) >> np.uint64(64 - BITS)
+        found, which = ranked(key)
+        one = np.zeros(len(found), np.int64)
+        one[which] = serves
         stays = np.ones(len(open_), bool)
         stays[serves] = False
-        stays[serves[one]] = True
+        stays[one] = True
         k = open_[stays]
-        self.first, self.start, self.weight = False, start[stays], weight[stays]
-        self.low, self.high, self.low_count, self.high_count, self.low_known, self.high_known = at[k], at[k + 1], counts[k], counts[k + 1], knows[k], knows[k + 1]
+        self.first, self.start, self.own, self.low, self.high = False, start[stays], own[stays], at[k], at[k + 1]
 
     def dump(self) -> bytes:
         vocabulary, numbers = np.unique(self.one, return_inverse=True)
@@ -294,7 +318,7 @@ def answers(found: list[np.ndarray], flags: list[np.ndarray], before: list[np.nd
     """For each batch's factors: bit 0, in the reference by another text wherever in the batch it is met; bit 1, by one text of
     this batch alone; bit 2, some other text holds it, good or not; bit 3, several words are before it. And the sums of ``held``."""
     cuts = np.cumsum([len(x) for x in found])[:-1]
-    distinct, at = np.unique(np.concatenate(found), return_inverse=True)
+    distinct, at = ranked(np.concatenate(found))
     flag = np.concatenate(flags)
     inside = flag & IN_REFERENCE > 0
     batches, good = np.bincount(at), np.bincount(at, inside)
@@ -374,17 +398,18 @@ def score(docs: DataFrame, good: DataFrame, batch: int = 1_000_000, shard: int =
         from pyspark import TaskContext
 
         number, made, held = TaskContext.get().partitionId() << 32, 0, 0
-        vocabulary = Numbers()
         ids, flags, lengths, words = [], [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal made
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in vocabulary), np.uint64, len(vocabulary))
-            row = [number + made], [ids], [np.array(flags, bool).tobytes()], [planes(np.array(lengths, np.int64))], [planes(np.concatenate(words))], [hashes.tobytes()], [sum(lengths)]
+            spelt = pa.chunked_array(words, pa.large_binary()).dictionary_encode().combine_chunks()
+            spelt = spelt.chunk(0) if isinstance(spelt, pa.ChunkedArray) else spelt
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, spelt.dictionary.to_pylist()), np.uint64, len(spelt.dictionary))
+            row = [number + made], [ids], [np.array(flags, bool).tobytes()], [planes(np.array(lengths, np.int64))], [planes(spelt.indices.to_numpy().astype(np.uint32))], [hashes.tobytes()], [sum(lengths)]
             types = pa.int64(), pa.list_(id_type), *[pa.binary()] * 4, pa.int64()
             out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], ["batch", "ids", "good", "lengths", "words", "hashes", "n"])
             made += 1
-            for x in (ids, flags, lengths, words, vocabulary):
+            for x in (ids, flags, lengths, words):
                 x.clear()
             return out
 
@@ -396,7 +421,7 @@ def score(docs: DataFrame, good: DataFrame, batch: int = 1_000_000, shard: int =
                     ids.append(key)
                     flags.append(flag)
                     lengths.append(len(own))
-                    words.append(np.fromiter(map(vocabulary.__getitem__, own), np.uint32, len(own)))
+                    words.append(pa.array(own, pa.large_string()).cast(pa.large_binary()))
                     held += len(own) + 1
                     if held >= batch:
                         yield flush()

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.llm import pii, quality, toxicity
-from lodestone.llm.lm import LADDER, own_phrases, relative_entropy, score, symbols
+from lodestone.llm.lm import LADDER, Batch, Starts, answers, flags_of, own_phrases, ranked, relative_entropy, score, symbols
 from tests.llm.cases import PROSE, empty_docs, odd_docs
 
 EMAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
@@ -318,3 +318,34 @@ def test_matches_of_every_length_are_exact(spark):
     for options in ({}, {"batch": 700, "shard": 900}):
         got = {r.doc_id: r.n_phrases for r in score(docs, good, **options).collect()}
         assert got == want
+
+
+def test_a_start_that_serves_no_one_asks_for_its_own_match_alone():
+    rng = random.Random(4)
+    source = [f"c{k}" for k in range(600)]
+    texts = [[f"h{k}", *source[: rng.randint(20, 600)], f"t{k}"] for k in range(24)]
+    good = np.arange(24) % 3 == 0
+    numbers = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+    hashes = np.random.default_rng(4).integers(0, 1 << 64, len(numbers), np.uint64)
+    b = Batch(np.array([numbers[w] for t in texts for w in t], np.uint32), hashes, np.array([len(t) for t in texts]), good)
+    known = np.concatenate([[False, *[True] * (len(t) - 5), *[False] * 4] for t in texts])
+    starts = Starts.of(b, known, known, b.left == np.repeat(b.lengths, b.lengths) - 1)
+    assert len(starts.start) == len(texts)
+    while len(starts.start):
+        stretch, length, found, which, owner, flags, held = starts.request()
+        (code,), (sums,) = answers([found], [flags], None, [held])
+        code, count, start = code[which], sums[which].astype(np.int64), starts.start[stretch]
+        knows = (code & 1 > 0) | (code & 2 > 0) & (owner[which] != starts.text[start])
+        starts.narrowed(stretch, length, knows, np.where(knows | starts.good[start] & (code & 4 > 0), count, 0))
+        assert np.bincount(starts.start[~starts.good[starts.start]]).max(initial=0) <= 1
+    assert starts.best.tolist() == [min(len(t), max(len(u) for j, u in enumerate(texts) if good[j] and j != k)) - 2 for k, t in enumerate(texts)]
+
+
+def test_hashes_that_begin_alike_are_ranked_apart():
+    rng = np.random.default_rng(5)
+    for n, high in ((0, 9), (1, 9), (700, 5), (5000, 1 << 56)):
+        h = rng.integers(0, high, n, np.uint64)
+        h[n // 2 :] = (h[: n - n // 2] ^ np.uint64(1)) * np.uint64(n > 1)  # equal but for the last bit
+        found, which = ranked(h)
+        want = np.unique(h, return_inverse=True)
+        assert found.tolist() == want[0].tolist() and which.tolist() == want[1].tolist()
