@@ -6,6 +6,8 @@ import hashlib
 import os
 import re
 from functools import lru_cache
+from itertools import chain
+from operator import add
 
 import pyarrow as pa
 import regex
@@ -99,7 +101,7 @@ class Codec:
         plain, letters, ended = [], [], []
         for c in chunks:
             word = c if words else c.removeprefix(" ")
-            if words and c and not latin(c):
+            if words and not c.isascii() and not latin(c):
                 memory[c] = self.special[c] if c in self.special else self._by_library(c)
             elif word.isalpha():  # one piece
                 letters.append(c)
@@ -115,14 +117,18 @@ class Codec:
         if words:
             # one search over all chunks; the line feed, which no chunk holds, ends each
             found = iter(WORD_PIECE.findall("\n".join(plain).lower() + "\n")) if plain else iter(())
-            parts = [(c, list(iter(found.__next__, "\n"))) for c in plain]
-            parts += [(c, [c[:-1].lower(), c[-1].lower()]) for c in ended]
+            parts = [list(iter(found.__next__, "\n")) for _ in plain]
+            heads, tails = [c[:-1].lower() for c in ended], [c[-1].lower() for c in ended]
         else:
-            parts = [(c, BYTE_PIECE.findall(c)) for c in plain] + [(c, [c[:-1], c[-1]]) for c in ended]
-        fresh = list({p for _, pieces in parts for p in pieces if p not in memory})
-        known = dict(zip(fresh, self.table.encode([p.encode() for p in fresh])))
-        for c, pieces in parts:
-            memory[c] = b"".join([known[p] if p in known else memory[p] for p in pieces])
+            parts = [BYTE_PIECE.findall(c) for c in plain]
+            heads, tails = [c[:-1] for c in ended], [c[-1] for c in ended]
+        needed = {*heads, *tails, *chain.from_iterable(parts)}
+        known = {p: memory[p] for p in needed if p in memory}
+        fresh = [p for p in needed if p not in known]
+        known.update(zip(fresh, self.table.encode([p.encode() for p in fresh])))
+        of = known.__getitem__
+        memory.update(zip(ended, map(add, map(of, heads), map(of, tails))))
+        memory.update([(c, b"".join(map(of, pieces))) for c, pieces in zip(plain, parts)])
 
     def _by_library(self, chunk: str) -> bytes:
         if self.library is None:

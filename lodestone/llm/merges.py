@@ -13,6 +13,7 @@ import json
 import numpy as np
 
 WIDE = 1 << 16  # more than any id
+ROOM = (2, 6, 14, 30, 62)  # bytes of the pieces that share an array, whose rows have a column more at each end
 SLOTS, SHIFT, MIX = 1 << 18, np.uint64(64 - 18), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,28 +92,24 @@ class MergeTable:
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers; an empty piece has none."""
-        out = [b""] * len(pieces)
-        classes: dict[int, list[int]] = {}
-        for i, p in enumerate(pieces):
-            if len(p) > 62:
-                out[i] = np.array(self.encode_long(p), "<u4").tobytes()
-            elif p:
-                size = 4
-                while size < len(p) + 2:
-                    size *= 2
-                classes.setdefault(size, []).append(i)
-        for size, members in classes.items():
-            for k in range(0, len(members), 8192):
-                part = members[k : k + 8192]
-                for i, ids in zip(part, self._rows([pieces[i] for i in part], size)):
-                    out[i] = ids
-        return out
+        out = np.full(len(pieces), b"", object)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        for i in np.flatnonzero(lengths > ROOM[-1]).tolist():
+            out[i] = np.array(self.encode_long(pieces[i]), "<u4").tobytes()
+        which = np.searchsorted(ROOM, lengths)
+        which[lengths == 0] = -1
+        for k, room in enumerate(ROOM):
+            members = np.flatnonzero(which == k)
+            for a in range(0, len(members), 8192):
+                part = members[a : a + 8192]
+                out[part] = np.array(self._rows([pieces[i] for i in part.tolist()], room + 2), object)
+        return out.tolist()
 
     def _rows(self, pieces: list[bytes], size: int) -> list[bytes]:
         # columns: 0 is the left end, 1..n the symbols, what follows the right end
         w, none = len(pieces), self.none * size
         n = np.fromiter(map(len, pieces), np.int64, w)
-        raw = np.frombuffer(b"".join(p.ljust(size - 2, b"\0") for p in pieces), np.uint8).reshape(w, size - 2)
+        raw = np.array(pieces, f"S{size - 2}").view(np.uint8).reshape(w, size - 2)
         sym = np.full((w, size), -1, np.int32)
         sym[:, 1:-1] = self.first[raw]
         rows = np.arange(w)

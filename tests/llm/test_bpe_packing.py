@@ -38,6 +38,23 @@ def test_one_tree_and_many_trees_agree():
         assert memoryview(ids).cast("I").tolist() == table.encode_long(w)
 
 
+def test_pieces_of_every_size_with_zero_bytes():
+    table = bpe.codec(bpe.tokenizer_path("word_bpe_49k.json")).table
+    pieces = [b"", *(b"th\0en\0"[:n] * (n > 0) + b"\0" * max(0, n - 6) for n in range(1, 70)), *(b"a" * n for n in range(1, 70))]
+    assert [memoryview(x).cast("I").tolist() for x in table.encode(pieces)] == [table.encode_long(p) for p in pieces]
+    assert table.encode([]) == []
+
+
+def test_plain_words_are_not_examined_one_by_one(monkeypatch):
+    asked = []
+    plain = bpe.latin
+    monkeypatch.setattr(bpe, "latin", lambda t: asked.append(t) or plain(t))
+    text = " ".join(f"w{k}x word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}," for k in range(100))
+    c = bpe.Codec(bpe.tokenizer_path("word_bpe_49k.json"))
+    assert memoryview(c.encode([text])[0]).cast("I").tolist() == library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
+    assert asked == [text]
+
+
 def test_memory_starts_anew(monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 1000)
     c = bpe.Codec(bpe.tokenizer_path("byte_bpe_50k.json"))
