@@ -473,6 +473,26 @@ def test_too_many_clauses_are_an_error(spark):
         search(ix, Request(query=Prefix("t", "w", "scoring_boolean"))).matched.count()
 
 
+@pytest.mark.parametrize("n", [900, 1100])
+def test_scoring_prefix_over_many_terms(spark, tmp_path, n):
+    import duckdb
+
+    from lodestone.queries import SQL
+
+    rows = [(i, " ".join([f"Thoro{i:04d}"] * (1 + i % 3) + [f"thoro{i * 7 % n:04d}", "thor"] + ["word"] * (i % 5))) for i in range(n)] + [(n, None), (n + 1, ""), (n + 2, f"thoro{n - 1:04d}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "9L AS n_chars")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("prefix_scoring_boolean", "prefix_top_terms", "prefix_top_terms_boost", "prefix_top_terms_blended_freqs"):
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        assert [(r.doc_id, round(r.score, 5)) for r in got] == [(i, round(x, 5)) for i, x in duck.execute(SQL[name]).fetchall()]
+    ix = Index(df, {"doc_id": Field("long"), "text": Field("text")})
+    matched = search(ix, Request(query=Prefix("text", "thoro", "scoring_boolean", 1024))).matched
+    assert matched.count() == len([r for r in rows if any(w < "thoro1024" for w in (r[1] or "").lower().split() if w.startswith("thoro"))])
+    assert len(matched._jdf.queryExecution().optimizedPlan().toString()) < 100_000  # no clause for each term
+
+
 def test_polygon_fields_meet_shapes_by_corners_and_edges(spark):
     from lodestone.plans.query import GeoBox, GeoRadius
 
