@@ -412,6 +412,23 @@ def test_all_matches_are_fetched(spark, tmp_path):
     assert ids == sorted(range(30), key=lambda i: (i % 7, i))[2:]
 
 
+def test_marks_of_neighbouring_terms(spark, tmp_path):
+    import duckdb
+
+    from lodestone.operators.highlight import whole
+    from lodestone.queries import SQL
+
+    texts = ["idiot moron", "An Idiot idiot MORON, moron", "idiot\nmoron\n", "moron  idiot", "idiots moronidiot", "idiot", "\n\nmoron idiot\n\n", "\u00e9idiot moron\u00e9 idiot", "\U0001f600idiot\U0001f600moron", "idiot\r\nidiot\r\n", "moron\u2028", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "9L AS n_chars")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["highlight_whole_field"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(duck.execute(SQL["highlight_whole_field"]).fetchall())
+    h = Highlight("text", ("idiot", "moron"), fragments=0)  # by itself the operator marks every term
+    assert df.where("doc_id = 0").select(whole(F.col("text"), h)).first()[0] == "<em>idiot</em> <em>moron</em>"
+
+
 def test_all_orders_have_inner_hits(spark, tmp_path):
     n = 100_010
     spark.range(n).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "500000D AS o_totalprice", "DATE'1995-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
